@@ -39,3 +39,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 8
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (rest or on)]), F.lit(salts)).cast("int")
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash df by cols into a fixed number of partitions, which adaptive execution does not merge.
+
+    For steps whose work is far larger than their bytes, where merging small partitions would leave cores idle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)

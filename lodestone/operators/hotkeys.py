@@ -41,7 +41,7 @@ def key_averages(states: DataFrame) -> DataFrame:
 def heavy_keys(states: DataFrame, share: float) -> DataFrame:
     """The keys with at least `share` of all records of their field; null is no key but its records count in the whole."""
     part = Fraction(str(share))
-    first = states.agg(F.min("field_name").alias("f")).scalar()
-    whole = states.where(F.col("field_name") == first).agg(F.sum("n_records").alias("n")).scalar()
+    # Every field counts every record once, so the sum over all fields' keys is the whole times the fields.
+    whole = states.agg(F.expr("sum(n_records) div size(collect_set(field_name))").alias("n")).scalar()
     big = F.col("n_records") * F.lit(part.denominator) >= whole * F.lit(part.numerator)
     return states.where(F.col("key_id").isNotNull() & big).select("field_name", "key_id", "n_records")
