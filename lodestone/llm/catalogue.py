@@ -92,7 +92,7 @@ c AS (SELECT b, count(*) AS k FROM d GROUP BY b), p AS (SELECT x.b AS b1, y.b AS
 SELECT b1 AS business_id_1, b2 AS business_id_2 FROM p JOIN c x ON x.b = b1 JOIN c y ON y.b = b2 WHERE 2 * m >= x.k + y.k - m"""
 _COMMON = ", ".join(f"'{w}'" for w in textstats.COMMON)
 _P10 = rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
-m AS (SELECT doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS letters, len(list_filter(w, x -> x IN ({_COMMON}))) AS common,
+m AS (SELECT doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS letters, len(list_filter(w, lambda x: x IN ({_COMMON}))) AS common,
   length(regexp_replace(text, '[\p{{L}}\p{{N}}\s\x{{0b}}]', '', 'g')) AS symbols, len(regexp_extract_all(text, '[^\n]*\S[^\n]*')) AS lines,
   len(regexp_extract_all(text, '[.!?…]["''”»)]*[ \t\r]*(?:\n|$)')) AS ended FROM w)
 SELECT doc_id, length(text) AS n_chars, CAST(n_words AS BIGINT) AS n_words,

@@ -31,7 +31,7 @@ tämä vain vasta vielä
 che di e il non per sono una het een van dat niet voor zijn och att det som på är med av
 """.split()))
 #: The labelling functions, in the order of a pattern's characters: p prose, n not prose, - no vote.
-VOTES = ("common", "symbols", "sentences", "digits", "listed", "line_words", "code", "case", "token_length", "clean_words", "items")
+VOTES = ("common", "symbols", "sentences", "digits", "listed", "line_words", "code", "case", "token_length", "clean_words", "items", "odd_words")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -67,8 +67,12 @@ def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def votes(block_rows: DataFrame) -> DataFrame:
-    """doc_id, pattern, chars of each block: one character a labelling function."""
-    rows = block_rows.select("doc_id", F.length(F.trim(F.regexp_replace("block", "\\s+", " "))).alias("chars"), F.regexp_replace(F.regexp_replace("block", "\\[([^\\[\\]\\n]*)\\]\\(\\s*https?://[^\\s()]*\\)", "$1"), "https?://[^\\s<>\"]+", "link").alias("b"))
+    """doc_id, pattern, chars of each block: one character a labelling function.
+
+    Links and short code spans within a line count as a word each, as their prose goes on around them.
+    """
+    b = F.regexp_replace("block", "`[^`\\n]{1,80}`", "code")
+    rows = block_rows.select("doc_id", F.length(F.regexp_replace("block", "^\\s+|\\s+$", "")).alias("chars"), F.regexp_replace(F.regexp_replace(b, "\\[([^\\[\\]\\n]*)\\]\\(\\s*https?://[^\\s()]*\\)", "$1"), "https?://[^\\s<>\"]+", "link").alias("b"))
     b = F.col("b")
     rows = rows.withColumn("w", F.regexp_extract_all(F.lower(b), F.lit("\\p{L}+"), F.lit(0)))
     measured = rows.select(
@@ -87,6 +91,7 @@ def votes(block_rows: DataFrame) -> DataFrame:
         _count(b, "[{}\\[\\];=]|\\p{L}\\(|=>|::|->|&&|\\|\\||\\p{L}_\\p{L}|\\p{L}\\.\\p{L}").alias("codelike"),
         _count(b, "\\S+").alias("tokens"),
         _count(b, "(?<=^|\\s)[(\"'“„«¿¡*_]*\\p{L}+(?:['’-]\\p{L}+)*[.,;:!?…)\"'”»*_]*(?=\\s|$)").alias("clean"),
+        F.size(F.filter("w", lambda w: w.rlike("[bcdfghjklmnpqrstvwxz]{5}"))).cast("double").alias("odd"),
     )
     c = F.col
     say = lambda prose, other: F.when(other, "n").when(prose, "p").otherwise("-")
@@ -96,7 +101,7 @@ def votes(block_rows: DataFrame) -> DataFrame:
         say(per("common", "words") >= 0.2, (per("common", "words") < 0.1) & (c("words") >= 8)),
         say(per("marks", "ink") < 0.02, per("marks", "ink") > 0.08),
         say((c("ends") >= 1) & (per("words", "ends") <= 45), ((c("ends") == 0) & (c("words") >= 12)) | (c("words") == 0)),
-        say(never, per("digits", "ink") > 0.2),
+        say(never, (per("digits", "ink") > 0.2) & (c("tokens") >= 6)),
         say(never, (c("lines") >= 2) & (per("listed", "lines") >= 0.5)),
         say(per("words", "lines") >= 8, (c("lines") >= 3) & (per("words", "lines") < 4)),
         say(never, per("codelike", "tokens") > 0.12),
@@ -104,6 +109,7 @@ def votes(block_rows: DataFrame) -> DataFrame:
         say((per("ink", "tokens") >= 2.5) & (per("ink", "tokens") <= 8), per("ink", "tokens") > 14),
         say(per("clean", "tokens") >= 0.85, per("clean", "tokens") < 0.6),
         say(never, (c("lines") >= 3) & (c("long_lines") == 0) & (c("ends") == 0)),
+        say(never, (per("odd", "words") > 0.1) & (c("odd") >= 2)),
     )
     return measured.select("doc_id", pattern.alias("pattern"), "chars")
 
@@ -140,7 +146,7 @@ def text_types(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     texts = df.where(F.col(doc_id).isNotNull() & F.col(text).rlike("\\S"))
     voted = stage(votes(blocks(texts, doc_id, text)))
-    table = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** 11 rows
+    table = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** 12 rows
     post = learn([r.pattern for r in table], [r.n for r in table]) if table else []
     known = df.sparkSession.createDataFrame([(r.pattern, float(p)) for r, p in zip(table, post)], "pattern string, prose double")
     scored = voted.join(F.broadcast(known), "pattern").groupBy("doc_id").agg((F.sum(F.col("chars") * F.col("prose")) / F.sum("chars")).alias("prose_share"))
