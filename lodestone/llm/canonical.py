@@ -80,18 +80,19 @@ def _joined(words: Column) -> Column:
     return F.array_join(words, "")
 
 
-def _turns(words: Column) -> Column:
-    """The words from each start, end joined to beginning: other orders of a name of two parts."""
+def _turns(words: Column, longest: Column) -> Column:
+    """The words from each start, end joined to beginning: other orders of a name of two parts; none if they are too long for any name."""
     n = F.size(words)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _joined(F.concat(F.slice(words, i, n), F.slice(words, F.lit(1), i - 1))))
+    fits = F.length(_joined(words)) <= longest + SLIPS
+    return F.when(~fits, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _joined(F.concat(F.slice(words, i, n), F.slice(words, F.lit(1), i - 1)))))
 
 
-def _forms(c: Column, regions: Column) -> Column:
+def _forms(c: Column, regions: Column, longest: Column) -> Column:
     """Spaceless spellings to look for: all words, then without region codes, then also without the words around."""
     words = _words(c)
     placed = F.filter(words, lambda w: ~F.array_contains(regions, w))
     bare = F.filter(placed, lambda w: ~w.isin(AROUND))
-    return F.filter(F.array_distinct(F.concat(_turns(words), _turns(placed), _turns(bare))), lambda f: f != "")
+    return F.filter(F.array_distinct(F.concat(_turns(words, longest), _turns(placed, longest), _turns(bare, longest))), lambda f: f != "")
 
 
 def _segments(n: Column) -> Column:
@@ -126,7 +127,8 @@ def name_matches(values: DataFrame, names: DataFrame, value: str, name: str, nam
     v = values.select(F.col(value).alias("value")).where(folded(F.col(value)) != "").distinct()
     ref = names.select(F.col(name_id).alias("name_id"), _joined(_words(F.col(name))).alias("full")).where(F.col("full") != "")
     regions = names.agg(F.collect_set(F.lower(region))).scalar() if region else F.array().cast("array<string>")
-    forms = v.withColumn("regions", regions).select("value", F.explode(_forms(F.col("value"), F.col("regions"))).alias("form"))
+    known = v.withColumn("regions", regions).withColumn("longest", ref.agg(F.coalesce(F.max(F.length("full")), F.lit(0))).scalar())
+    forms = known.select("value", F.explode(_forms(F.col("value"), F.col("regions"), F.col("longest"))).alias("form"))
     exact = forms.join(ref, forms["form"] == ref["full"]).select("value", "name_id", F.lit(0).alias("slips"))
     rest = forms.join(exact.select("value").distinct(), "value", "left_anti")
     cut = ref.select("name_id", "full", F.length("full").alias("n"), F.explode(_segments(F.length("full"))).alias("s")).select("name_id", "full", "n", "s.seg", F.substring(F.col("full"), F.col("s.at"), F.col("s.len")).alias("part"))

@@ -10,6 +10,7 @@ of the document around the shared shingles.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodestone.functions.shuffle import stage
+
 SHINGLE = 3
 
 
@@ -68,13 +71,16 @@ def _verified(window: int, changes: int):
     def passes(item: list[str], doc: list[str], at: list[tuple[int, int]]) -> bool:
         """at: (document place, item place) of shared shingles."""
         at = sorted(set(at))
-        done = -1
+        checked = (-reach * 4, 0)
         for k, (d, i) in enumerate(at):
-            near = {(x, y) for x, y in at[k:] if x <= d + window + changes}
-            if d < done or len({x for x, y in near if abs((x - y) - (d - i)) <= 2 * changes}) < need:
+            if d - checked[0] <= window + changes and abs(i - checked[1]) <= window + changes:
+                continue  # a passage through this place lies within what was checked last
+            end = bisect_right(at, (d + window + changes, len(item)), k)
+            if len({x for x, y in at[k:end] if abs((x - y) - (d - i)) <= 2 * changes}) < need:
                 continue
-            lo, hi = max(0, d - reach), min(len(doc), d + 2 * reach)
-            a, b = max(0, i - reach), min(len(item), i + 2 * reach)
+            checked = (d, i)
+            lo, hi = max(0, d - 2 * reach), min(len(doc), d + 3 * reach)
+            a, b = max(0, i - 2 * reach), min(len(item), i + 3 * reach)
             if passage_within(item[a:b], doc[lo:hi], window, changes):
                 return True
         return False
@@ -99,7 +105,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     spread_items = it.select("item_id", F.posexplode(shingles(F.col("item_words"))).alias("at", "h"))
     known = spread_items.select("h").distinct()
     texts = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("doc_words")).where(F.col("doc_id").isNotNull())
-    places = texts.select("doc_id", F.posexplode(shingles(F.col("doc_words"))).alias("at", "h")).join(known, "h", "left_semi")
+    # The texts' shingles are read once; what is kept of them occurs in some item.
+    places = stage(texts.select("doc_id", F.posexplode(shingles(F.col("doc_words"))).alias("at", "h")).join(known, "h", "left_semi"))
     rarity = places.groupBy("h").agg(F.count("*").alias("df"))
     ranked = spread_items.join(rarity, "h", "left").select("item_id", "at", "h", F.coalesce("df", F.lit(0)).alias("df"))
     # A window's prefix: its shingles but the need - 1 most frequent. A shingle is needed if any window of 13 places needs it.

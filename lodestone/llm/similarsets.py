@@ -148,7 +148,7 @@ def _collide(threshold: float):
     return pairs
 
 
-def similar_sets(df: DataFrame, record: str, element: str, threshold: float, miss: float = 0.002, chunk: int = 200_000) -> DataFrame:
+def similar_sets(df: DataFrame, record: str, element: str, threshold: float, miss: float = 0.0002, chunk: int = 200_000) -> DataFrame:
     """record_1 < record_2 (by bytes) and jaccard, for all pairs of records whose sets of distinct elements reach the threshold.
 
     Rows with a null record or element are ignored and repeated rows count once; empty tables and single records give
