@@ -87,6 +87,26 @@ p AS (SELECT a.i AS item_1, b.i AS item_2, count(*) AS n12 FROM d a JOIN d b ON
 q AS (SELECT item_1, item_2, n12, x.k AS n1, y.k AS n2, n FROM p JOIN c x ON x.i = item_1 JOIN c y ON y.i = item_2, n WHERE n12 * n >= 4.0 * x.k * y.k) """
 _TERM = "(CASE WHEN {0} > 0 THEN ({0}) * ln(({0}) / ({1})) ELSE 0 END)"
 _LLR = "2 * (" + " + ".join(_TERM.format(*x) for x in [("n12", "n1 * n2 / n"), ("n1 - n12", "n1 * (n - n2) / n"), ("n2 - n12", "(n - n1) * n2 / n"), ("n - n1 - n2 + n12", "(n - n1) * (n - n2) / n")]) + ")"
+def _sql_fold(c: str) -> str:
+    """The folded words of a text column, step for step as in canonical.folded."""
+    t = f"regexp_replace(regexp_replace({c}, '[Ãã](?:ƒ|\\x{{83}})[Ââ]?', 'Ã', 'g'), '[Ââ]([\\x{{80}}-\\x{{bf}}])', '\\1', 'g')"
+    for base, letters in canonical._MISREAD.items():
+        t = f"regexp_replace({t}, '[Ãã]{canonical._misread(letters)}', '{base}', 'g')"
+    t = f"translate(lower(regexp_replace({t}, '[\\p{{M}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}''’`´]', '', 'g')), '{canonical._FOUND}', '{canonical._BASE}')"
+    for many, few in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
+        t = f"replace({t}, '{many}', '{few}')"
+    short = ", ".join(f"'{k}': '{v}'" for k, v in canonical.SHORT_FORMS.items())
+    return f"list_transform(string_split(trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: coalesce(list_extract(map_extract(MAP {{{short}}}, w), 1), w))"
+
+
+_TURNS = "list_transform(range(1, len({0}) + 1), lambda i: array_to_string(list_concat({0}[i:], {0}[1:i - 1]), ''))"
+_P4 = f"""WITH s AS (SELECT list(DISTINCT lower(state_code)) AS ss FROM canon_city), r AS (SELECT city_id, array_to_string({_sql_fold("city_name")}, '') AS name FROM canon_city),
+v AS (SELECT city, {_sql_fold("city")} AS a FROM (SELECT DISTINCT city FROM business WHERE city IS NOT NULL)), p AS (SELECT city, a, list_filter(a, lambda w: NOT list_contains(ss, w)) AS b FROM v, s),
+q AS (SELECT city, a, b, list_filter(b, lambda w: w NOT IN ({", ".join(f"'{w}'" for w in canonical.AROUND)})) AS c FROM p),
+f AS (SELECT DISTINCT city, unnest(list_concat({_TURNS.format("a")}, {_TURNS.format("b")}, {_TURNS.format("c")})) AS form FROM q),
+m AS (SELECT city, city_id, damerau_levenshtein(form, name) AS d FROM f JOIN r ON abs(length(form) - length(name)) <= 2 AND damerau_levenshtein(form, name) <= 2 WHERE form <> ''),
+k AS (SELECT city, city_id FROM m QUALIFY row_number() OVER (PARTITION BY city ORDER BY d, city_id) = 1),
+z AS (SELECT business_id, business.city, coalesce(city_id, -1) AS city_id FROM business LEFT JOIN k ON k.city = business.city WHERE regexp_replace(business.city, '[\\s\\x{{a0}}]+', '', 'g') <> '') """
 _P7 = """WITH d AS (SELECT DISTINCT business_id AS b, user_id AS u FROM yelp_train WHERE business_id IS NOT NULL AND user_id IS NOT NULL),
 c AS (SELECT b, count(*) AS k FROM d GROUP BY b), p AS (SELECT x.b AS b1, y.b AS b2, count(*) AS m FROM d x JOIN d y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2)
 SELECT b1 AS business_id_1, b2 AS business_id_2 FROM p JOIN c x ON x.b = b1 JOIN c y ON y.b = b2 WHERE 2 * m >= x.k + y.k - m"""
@@ -112,6 +132,8 @@ SELECT e.split_name, rating_source, count(*) AS n_records, count(k) AS n_overlap
 FROM e LEFT JOIN g ON e.split_name = g.split_name AND e.rating_id = g.eval_rating_id GROUP BY 1, 2""",
     "p3_found": _P3 + "SELECT item_1 AS business_id_1, item_2 AS business_id_2 FROM q",
     "p3_cooccurrence": _P3 + f"SELECT item_1, item_2, n12, n1, n2, CAST(n AS BIGINT) AS n_baskets, round(n12 * n / (CAST(n1 AS DOUBLE) * n2), 6) AS lift, round({_LLR}, 4) AS llr FROM q",
+    "p4_found": _P4 + "SELECT business_id, city_id FROM z",
+    "p4_unmatched": _P4 + "SELECT city, count(*) AS n_businesses FROM z WHERE city_id = -1 GROUP BY city",
     "p7_found": _P7,
     "p10_statistics": _P10,
 }

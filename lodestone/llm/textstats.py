@@ -57,41 +57,67 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, block: the parts of each text between blank lines and code fences, without tags and quote marks."""
-    t = F.regexp_replace(F.regexp_replace(F.col(text), "\\r\\n?", "\n"), "(?i)<pre[^<>]*>", "\n\n```\n")
-    t = F.regexp_replace(t, "(?i)</(?:pre|table|ul|ol|div)>|<(?:table|ul|ol|div)[^<>]*>", "\n\n")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)</(?:p|h\\d|blockquote)>", "\n\n"), "(?i)<li[^<>]*>", "\n- ")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)<br\\s*/?>|</(?:li|tr)>|</t[dh]>", "\n"), "</?[A-Za-z][^<>]*>", "")
-    t = F.regexp_replace(F.regexp_replace(t, "(?m)^[ \\t]*(?:>[ \\t]?)+", ""), "(?m)^[ \\t]*```[^\\n]*$", "\n\n```\n")
-    return df.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(t, "\\n[ \\t]*(?=\\n)|\\n(?=```)")).alias("block")).where(F.col("block").rlike("[^\\s`]"))
+    """doc_id, block: the parts of each text between blank lines and code fences, without tags and quote marks.
+
+    Passes over the text are made only where their characters occur.
+    """
+    has = lambda c, mark, then: F.when(F.contains(c, F.lit(mark)), then).otherwise(c)
+    rows = df.select(F.col(doc_id).alias("doc_id"), has(F.col(text), "\r", F.regexp_replace(text, "\\r\\n?", "\n")).alias("t"))
+    t = F.regexp_replace("t", "(?i)<pre[^<>]*>", "\n\n```\n")
+    t = F.regexp_replace(t, "(?i)</(?:pre|table|ul|ol|div|p|h\\d|blockquote)>|<(?:table|ul|ol|div)[^<>]*>", "\n\n")
+    t = F.regexp_replace(F.regexp_replace(t, "(?i)<li[^<>]*>", "\n- "), "(?i)<br\\s*/?>|</(?:li|tr|t[dh])>", "\n")
+    rows = rows.select("doc_id", has(F.col("t"), "<", F.regexp_replace(t, "</?[A-Za-z][^<>]*>", "")).alias("t"))
+    rows = rows.select("doc_id", has(F.col("t"), ">", F.regexp_replace("t", "(?m)^[ \\t]*(?:>[ \\t]?)+", "")).alias("t"))
+    rows = rows.select("doc_id", has(F.col("t"), "```", F.regexp_replace("t", "(?m)^[ \\t]*```[^\\n]*$", "\n\n```\n")).alias("t"))
+    return rows.select("doc_id", F.explode(F.split("t", "\\n[ \\t]*(?=\\n)|\\n(?=```)")).alias("block")).where(F.col("block").rlike("[^\\s`]"))
+
+
+def _shape_table() -> tuple[str, str]:
+    """By rule: small letters of the Latin blocks to a, capitals to A, digits to 0, sentence ends to a stop, apostrophes and hyphens to an apostrophe, other marks of prose to a comma."""
+    table = {x: to for xs, to in ((".!?…", "."), ("'’-–", "'"), (',:"“”„«»¿¡', ","), ("\t\r\x0b\x0c\xa0", " "), ("0123456789", "0")) for x in xs}
+    for cp in [*range(0x41, 0x7B), *range(0xAA, 0x250)]:
+        if chr(cp).isalpha():
+            table.setdefault(chr(cp), "A" if chr(cp).isupper() else "a")
+    return "".join(table), "".join(table.values())
+
+
+def _space_table() -> tuple[str, str]:
+    """By rule: whatever in the blocks of Latin letters, punctuation and symbols is no letter, to a space."""
+    gone = "".join(chr(cp) for cp in [*range(1, 0x250), *range(0x2000, 0x2800), *range(0x3000, 0x3040), 0xFFFD] if not chr(cp).isalpha())
+    return gone, " " * len(gone)
 
 
 def votes(block_rows: DataFrame) -> DataFrame:
     """doc_id, pattern, chars of each block: one character a labelling function.
 
-    Links and short code spans within a line count as a word each, as their prose goes on around them.
+    Links and short code spans within a line count as a word each, as their prose goes on around them. Most statistics
+    are taken from the block's shape, in which every kind of character is one ASCII character.
     """
-    b = F.regexp_replace("block", "`[^`\\n]{1,80}`", "code")
-    rows = block_rows.select("doc_id", F.length(F.regexp_replace("block", "^\\s+|\\s+$", "")).alias("chars"), F.regexp_replace(F.regexp_replace(b, "\\[([^\\[\\]\\n]*)\\]\\(\\s*https?://[^\\s()]*\\)", "$1"), "https?://[^\\s<>\"]+", "link").alias("b"))
-    b = F.col("b")
-    rows = rows.withColumn("w", F.regexp_extract_all(F.lower(b), F.lit("\\p{L}+"), F.lit(0)))
+    has = lambda c, mark, then: F.when(F.contains(c, F.lit(mark)), then).otherwise(c)
+    rows = block_rows.select("doc_id", F.regexp_replace("block", "^\\s+|\\s+$", "").alias("t"))
+    rows = rows.select("doc_id", F.length("t").alias("chars"), has(F.col("t"), "`", F.regexp_replace("t", "`[^`\\n]{1,80}`", "code")).alias("b"))
+    links = F.regexp_replace(F.regexp_replace("b", "\\[([^\\[\\]\\n]*)\\]\\(\\s*https?://[^\\s()]*\\)", "$1"), "https?://[^\\s<>\"]+", "link")
+    rows = rows.select("doc_id", "chars", has(F.col("b"), "http", links).alias("b"))
+    other = F.when(F.col("b").rlike("[^\\x00-\\x{24f}]"), F.regexp_replace("b", "[\\p{L}&&[^\\x00-\\x{24f}]]", "a")).otherwise(F.col("b"))
+    low = F.lower("b")
+    rows = rows.select("doc_id", "chars", "b", F.translate(other, *_shape_table()).alias("m"), low.alias("low"), F.split(F.translate(low, *_space_table()), " ").alias("w"))
+    m = F.col("m")
+    n = lambda x: F.length(m) - F.length(F.replace(m, F.lit(x), F.lit("")))
+    rows = rows.select("doc_id", "chars", "b", "m", "low", "w", n("a").alias("small"), n("A").alias("upper"), n("0").alias("digits"), n("\n").alias("breaks"), (F.length(m) - n("\n") - n(" ")).alias("ink"), (n(".") + n(",") + n("'") + n(";") + n("(") + n(")")).alias("usual"))
     measured = rows.select(
-        "doc_id", "chars",
-        F.size("w").cast("double").alias("words"),
+        "doc_id", "chars", "ink", "digits", "upper",
+        (F.col("small") + F.col("upper")).alias("letters"),
+        (F.col("ink") - F.col("small") - F.col("upper") - F.col("digits") - F.col("usual")).alias("marks"),
+        (F.col("breaks") + 1).cast("double").alias("lines"),
+        _count(m, "[aA]+").alias("words"),
         F.size(F.filter("w", lambda w: w.isin(COMMON))).cast("double").alias("common"),
-        _count(b, "\\S").alias("ink"),
-        _count(b, "[^\\p{L}\\p{N}\\s.,;:!?'’\"“”„«»()¿¡…–-]").alias("marks"),
-        _count(b, "[\\p{L}\\p{N})\"'”»%][.!?…]+[\"'”»)]*(?=\\s|$)").alias("ends"),
-        _count(b, "\\p{N}").alias("digits"),
-        _count(b, "\\p{L}").alias("letters"),
-        _count(b, "\\p{Lu}").alias("upper"),
-        _count(b, "[^\\n]*\\S[^\\n]*").alias("lines"),
-        _count(b, "(?m)^(?:[ \\t]{2,}|[ \\t]*(?:[-*+•·–|$#{}<«©]|\\d+[.)][ \\t])).*\\S|\\|[^\\n|]*\\|").alias("listed"),
-        _count(b, "(?m)^[ \\t]*\\S+(?:[ \\t]+\\S+){7,}").alias("long_lines"),
-        _count(b, "[{}\\[\\];=]|\\p{L}\\(|=>|::|->|&&|\\|\\||\\p{L}_\\p{L}|\\p{L}\\.\\p{L}").alias("codelike"),
-        _count(b, "\\S+").alias("tokens"),
-        _count(b, "(?<=^|\\s)[(\"'“„«¿¡*_]*\\p{L}+(?:['’-]\\p{L}+)*[.,;:!?…)\"'”»*_]*(?=\\s|$)").alias("clean"),
-        F.size(F.filter("w", lambda w: w.rlike("[bcdfghjklmnpqrstvwxz]{5}"))).cast("double").alias("odd"),
+        _count(m, "[aA0),'%][.]+[,')]*(?=\\s|$)").alias("ends"),
+        _count(F.col("b"), "(?m)^(?:[ \\t]{2,}|[ \\t]*(?:[-*+•·–|$#{}<«©]|[0-9]+[.)][ \\t])).*[^\\s]|\\|[^\\n|]*\\|").alias("listed"),
+        _count(m, "(?m)^ *[^ \\n]+(?: +[^ \\n]+){7,}").alias("long_lines"),
+        _count(m, "[{}\\[\\];=]|[aA]\\(|'>|&&|\\|\\||[aA]_[aA]|[aA]\\.[aA]").alias("codelike"),
+        _count(m, "[^ \\n]+").alias("tokens"),
+        _count(m, "(?<![^ \\n])[(,'*_]*[aA]+(?:'[aA]+)*[.,;)'*_]*(?![^ \\n])").alias("clean"),
+        _count(F.col("low"), "[bcdfghjklmnpqrstvwxz]{5,}").alias("odd"),
     )
     c = F.col
     say = lambda prose, other: F.when(other, "n").when(prose, "p").otherwise("-")
