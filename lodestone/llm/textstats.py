@@ -57,7 +57,7 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, block: the parts of each text between blank lines and code fences, without tags and quote marks.
+    """doc_id, block: the parts of each text between blank lines and code fences, without tags, quote marks and comment marks.
 
     Passes over the text are made only where their characters occur.
     """
@@ -69,6 +69,7 @@ def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = rows.select("doc_id", has(F.col("t"), "<", F.regexp_replace(t, "</?[A-Za-z][^<>]*>", "")).alias("t"))
     rows = rows.select("doc_id", has(F.col("t"), ">", F.regexp_replace("t", "(?m)^[ \\t]*(?:>[ \\t]?)+", "")).alias("t"))
     rows = rows.select("doc_id", has(F.col("t"), "```", F.regexp_replace("t", "(?m)^[ \\t]*```[^\\n]*$", "\n\n```\n")).alias("t"))
+    rows = rows.select("doc_id", F.regexp_replace("t", "(?m)^[ \\t]*(?:--|//|#+|\\*)[ \\t]+", "").alias("t"))
     return rows.select("doc_id", F.explode(F.split("t", "\\n[ \\t]*(?=\\n)|\\n(?=```)")).alias("block")).where(F.col("block").rlike("[^\\s`]"))
 
 
@@ -96,8 +97,8 @@ def votes(block_rows: DataFrame) -> DataFrame:
     has = lambda c, mark, then: F.when(F.contains(c, F.lit(mark)), then).otherwise(c)
     rows = block_rows.select("doc_id", F.regexp_replace("block", "^\\s+|\\s+$", "").alias("t"))
     rows = rows.select("doc_id", F.length("t").alias("chars"), has(F.col("t"), "`", F.regexp_replace("t", "`[^`\\n]{1,80}`", "code")).alias("b"))
-    links = F.regexp_replace(F.regexp_replace("b", "\\[([^\\[\\]\\n]*)\\]\\(\\s*https?://[^\\s()]*\\)", "$1"), "https?://[^\\s<>\"]+", "link")
-    rows = rows.select("doc_id", "chars", has(F.col("b"), "http", links).alias("b"))
+    links = F.regexp_replace(F.regexp_replace("b", "\\[([^\\[\\]]*)\\]\\(\\s*(?i:https?)://[^\\s()]*\\)", "$1"), "(?i:https?)://[^\\s<>\"]+", "link")
+    rows = rows.select("doc_id", "chars", has(F.col("b"), "://", links).alias("b"))
     other = F.when(F.col("b").rlike("[^\\x00-\\x{24f}]"), F.regexp_replace("b", "[\\p{L}&&[^\\x00-\\x{24f}]]", "a")).otherwise(F.col("b"))
     low = F.lower("b")
     rows = rows.select("doc_id", "chars", "b", F.translate(other, *_shape_table()).alias("m"), low.alias("low"), F.split(F.translate(low, *_space_table()), " ").alias("w"))
@@ -116,12 +117,14 @@ def votes(block_rows: DataFrame) -> DataFrame:
         _count(m, "(?m)^ *[^ \\n]+(?: +[^ \\n]+){7,}").alias("long_lines"),
         _count(m, "[{}\\[\\];=]|[aA]\\(|'>|&&|\\|\\||[aA]_[aA]|[aA]\\.[aA]").alias("codelike"),
         _count(m, "[^ \\n]+").alias("tokens"),
+        _count(m, "(?<![^ \\n])0+(?:[.,']0+)*[.,]?(?![^ \\n])").alias("numbers"),
         _count(m, "(?<![^ \\n])[(,'*_]*[aA]+(?:'[aA]+)*[.,;)'*_]*(?![^ \\n])").alias("clean"),
         _count(F.col("low"), "[bcdfghjklmnpqrstvwxz]{5,}").alias("odd"),
     )
     c = F.col
     say = lambda prose, other: F.when(other, "n").when(prose, "p").otherwise("-")
     never = F.lit(False)
+    worded = c("clean") / F.greatest(c("tokens") - c("numbers"), F.lit(1.0))  # of the tokens that are no numbers
     per = lambda a, z: c(a) / F.greatest(c(z), F.lit(1.0))
     pattern = F.concat(
         say(per("common", "words") >= 0.2, (per("common", "words") < 0.1) & (c("words") >= 8)),
@@ -133,7 +136,7 @@ def votes(block_rows: DataFrame) -> DataFrame:
         say(never, per("codelike", "tokens") > 0.12),
         say(per("upper", "letters") < 0.12, (c("letters") == 0) | ((per("upper", "letters") > 0.3) & (c("letters") >= 12))),
         say((per("ink", "tokens") >= 2.5) & (per("ink", "tokens") <= 8), per("ink", "tokens") > 14),
-        say(per("clean", "tokens") >= 0.85, per("clean", "tokens") < 0.6),
+        say(worded >= 0.85, worded < 0.6),
         say(never, (c("lines") >= 3) & (c("long_lines") == 0) & (c("ends") == 0)),
         say(never, (per("odd", "words") > 0.1) & (c("odd") >= 2)),
     )
