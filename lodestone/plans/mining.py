@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,14 @@ def itemset_lines(s: SparkSession, d: str) -> DataFrame:
     return writers.itemset_lines(itemsets.frequent_itemsets(_baskets(s, d), SHARE), "Frequent Itemsets:")
 
 
+def itemset_candidates(s: SparkSession, d: str) -> DataFrame:
+    """The itemsets that some part of the baskets holds often enough; which ones depends on the parts."""
+    b = _baskets(s, d)
+    total = b.count()
+    found = itemsets.candidate_itemsets(b, max(1, math.ceil(SHARE * total)), total)
+    return found.select(F.array_join("items", "|").alias("itemset"), F.size("items").alias("size"))
+
+
 def fpgrowth_itemsets(s: SparkSession, d: str) -> DataFrame:
     return _sets(itemsets.fpgrowth_itemsets(_baskets(s, d), SHARE)).where(F.col("size") <= 3)
 
@@ -118,6 +128,10 @@ def edge_betweenness(s: SparkSession, d: str) -> DataFrame:
     return graph.edge_betweenness(_edges(s, d)).withColumn("betweenness", F.bround("betweenness", 5))
 
 
+def betweenness_lines(s: SparkSession, d: str) -> DataFrame:
+    return writers.edge_lines(graph.edge_betweenness(_edges(s, d)))
+
+
 def _train(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "yelp_train")
 
@@ -273,6 +287,15 @@ def feature_table(s: SparkSession, d: str) -> DataFrame:
     return f.select("user", "item", "stars", *[F.round(c, 6).alias(c) for c in learning.SIMPLE])
 
 
+def feature_table_test(s: SparkSession, d: str) -> DataFrame:
+    f = features.simple_features(_truth(s, d), _rated(s, d), load(s, d, "yelp_user"), load(s, d, "business"), training=False)
+    return f.select("user", "item", "stars", *[F.round(c, 6).alias(c) for c in learning.SIMPLE])
+
+
+def business_encode(s: SparkSession, d: str) -> DataFrame:
+    return features.business_features(load(s, d, "business")).select("item", *features.BUSINESS_COLUMNS)
+
+
 def missing_fill(s: SparkSession, d: str) -> DataFrame:
     """The validation rows with the entities' features, the missing ones filled from the training rows."""
     f = features.joined_features(_truth(s, d), load(s, d, "yelp_user"), load(s, d, "business"), _rated(s, d))
@@ -290,6 +313,10 @@ def model_predict(s: SparkSession, d: str) -> DataFrame:
     return _model(s, d).select("user", "item", "prediction")
 
 
+def model_rmse(s: SparkSession, d: str) -> DataFrame:
+    return recommend.rmse(_model(s, d))
+
+
 def hybrid_blend(s: SparkSession, d: str) -> DataFrame:
     return recommend.blended(_cf(s, d), _model(s, d))
 
@@ -379,6 +406,16 @@ FROM v LEFT JOIN uf ON uf.user_id = v."user" LEFT JOIN bf ON bf.business_id = v.
 _TABLE = f"""{_R}, ue AS (SELECT user_id, CAST(useful AS DOUBLE) AS useful FROM yelp_user), ur AS (SELECT "user", CAST(count(*) AS DOUBLE) AS n, avg(stars) AS m FROM r GROUP BY 1), br AS (SELECT item, CAST(count(*) AS DOUBLE) AS n, avg(stars) AS m FROM r GROUP BY 1)
 SELECT r."user", r.item, r.stars, ur.n AS u_count, round(ur.m, 6) AS u_avg, br.n AS b_count, round(br.m, 6) AS b_avg, coalesce(useful, 0) AS u_useful FROM r JOIN ur ON ur."user" = r."user" JOIN br ON br.item = r.item LEFT JOIN ue ON ue.user_id = r."user\""""
 
+_TEST = f"""{_R}, ue AS (SELECT user_id, CAST(review_count AS DOUBLE) AS n, average_stars AS m, CAST(useful AS DOUBLE) AS useful FROM yelp_user), be AS (SELECT business_id, CAST(review_count AS DOUBLE) AS n, stars AS m FROM business)
+SELECT v."user", v.item, v.stars, round(coalesce(ue.n, (SELECT avg(n) FROM ue)), 6) AS u_count, round(coalesce(ue.m, (SELECT avg(m) FROM ue)), 6) AS u_avg, round(coalesce(be.n, (SELECT avg(n) FROM be)), 6) AS b_count, round(coalesce(be.m, (SELECT avg(m) FROM be)), 6) AS b_avg, coalesce(useful, 0) AS u_useful
+FROM v LEFT JOIN ue ON ue.user_id = v."user" LEFT JOIN be ON be.business_id = v.item WHERE v."user" IS NOT NULL AND v.item IS NOT NULL AND v.stars IS NOT NULL"""
+_BETWEEN = _EDGE.replace("WITH d", "WITH RECURSIVE d", 1) + """, l AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w(r, v, k) AS (SELECT DISTINCT src, src, 0 FROM l UNION SELECT w.r, l.dst, w.k + 1 FROM w JOIN l ON l.src = w.v WHERE w.k < 40), ds AS (SELECT r, v, min(k) AS k FROM w GROUP BY 1, 2),
+p(r, v, k) AS (SELECT DISTINCT src, src, 0 FROM l UNION ALL SELECT p.r, l.dst, p.k + 1 FROM p JOIN l ON l.src = p.v JOIN ds ON ds.r = p.r AND ds.v = l.dst AND ds.k = p.k + 1), sg AS (SELECT r, v, min(k) AS k, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round_even(sum(CAST(a.n AS DOUBLE) * b.n / t.n) / 2, 5) AS betweenness
+FROM l JOIN sg a ON a.v = l.src JOIN sg b ON b.r = l.dst JOIN sg t ON t.r = a.r AND t.v = b.v AND t.k = a.k + 1 + b.k GROUP BY 1, 2"""
+_PLACES = f"""SELECT business_id AS item, CAST({_CODE.format("postal_code")} AS DOUBLE) AS b_postal, stars AS b_stars, CAST(review_count AS DOUBLE) AS b_review_count, CAST(is_open AS DOUBLE) AS b_open, CAST({_CATEGORY.format("string_split(categories, ',')")} AS DOUBLE) AS b_category FROM business"""
+
 ORACLES = {
     "explore_counts": "SELECT count(*) AS n_review, count(*) FILTER (WHERE contains(review_date, '2018')) AS n_review_year, (SELECT count(*) FROM (SELECT DISTINCT user_id FROM review)) AS n_user, (SELECT count(*) FROM (SELECT DISTINCT business_id FROM review)) AS n_business FROM review",
     "explore_top10_users": "SELECT user_id, count(*) AS n FROM review GROUP BY 1 ORDER BY n DESC, user_id NULLS LAST LIMIT 10",
@@ -427,7 +464,10 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_e
     "user_encode": f"""SELECT user_id AS "user", CAST(review_count AS DOUBLE) AS u_review_count, CAST({_CODE.format("yelping_since")} AS DOUBLE) AS u_since, CAST(CASE WHEN friends IS NULL OR friends = 'None' THEN 0 ELSE len(string_split(friends, ',')) END AS DOUBLE) AS u_friends,
 CAST(useful AS DOUBLE) AS u_useful, CAST(funny AS DOUBLE) AS u_funny, CAST(cool AS DOUBLE) AS u_cool, CAST(fans AS DOUBLE) AS u_fans, average_stars AS u_avg_stars, CAST(compliment_photos AS DOUBLE) AS u_photos FROM yelp_user""",
     "feature_table": _TABLE,
+    "feature_table_test": _TEST,
+    "business_encode": _PLACES,
+    "edge_betweenness": _BETWEEN,
     "missing_fill": _R + _WIDE,
 }
-_NAMES = [*ORACLES, "explore_partition_counts", "explore_document", "itemset_lines", "edge_betweenness", "hll_distinct", "model_predict", "hybrid_blend", "stacking"]
+_NAMES = [*ORACLES, "explore_partition_counts", "explore_document", "itemset_candidates", "itemset_lines", "betweenness_lines", "hll_distinct", "model_predict", "model_rmse", "hybrid_blend", "stacking"]
 QUERIES = {n: globals()[n] for n in _NAMES}
