@@ -21,7 +21,7 @@ _MEMBER = "[uUbB]?\"[^\"\\\\]*+(?:\\\\.[^\"\\\\]*+)*+\"|[uUbB]?'[^'\\\\]*+(?:\\\
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{_BLANK}]+|[{_BLANK}]+$", "")
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c\u00a0\u3000\ufeff"))
 
 
 def skeleton(text: Column) -> Column:
