@@ -48,7 +48,7 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     rows = rows.withColumn("w", F.regexp_extract_all(F.lower(t), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
     n, chars = F.size("w").cast("double"), F.length(t).cast("double")
-    lines, ended = _count(t, "[^\\n]*\\S[^\\n]*"), _count(t, "[.!?…][\"'”»)]*[ \\t\\r]*(?:\\n|$)")
+    lines, ended = _count(t, "(?md)^[^\\S\\n]*+\\S"), _count(t, "[.!?…][\"'”»)]*[ \\t\\r]*(?:\\n|$)")
     common = F.size(F.filter("w", lambda w: w.isin(COMMON))).cast("double")
     of = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     symbols = _count(t, "[^\\p{L}\\p{N}\\s]")
@@ -67,7 +67,7 @@ def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.regexp_replace(t, "(?i)</(?:pre|table|ul|ol|div|p|h\\d|blockquote)>|<(?:table|ul|ol|div)[^<>]*>", "\n\n")
     t = F.regexp_replace(F.regexp_replace(t, "(?i)<li[^<>]*>", "\n- "), "(?i)<br\\s*/?>|</(?:li|tr|t[dh])>", "\n")
     rows = rows.select("doc_id", has(F.col("t"), "<", F.regexp_replace(t, "</?[A-Za-z][^<>]*>", "")).alias("t"))
-    rows = rows.select("doc_id", has(F.col("t"), ">", F.regexp_replace("t", "(?m)^[ \\t]*(?:>[ \\t]?)+", "")).alias("t"))
+    rows = rows.select("doc_id", has(F.col("t"), ">", F.regexp_replace("t", "(?m)^[ \\t]*(?:>[ \\t]?)++", "")).alias("t"))
     rows = rows.select("doc_id", has(F.col("t"), "```", F.regexp_replace("t", "(?m)^[ \\t]*```[^\\n]*$", "\n\n```\n")).alias("t"))
     rows = rows.select("doc_id", F.regexp_replace("t", "(?m)^[ \\t]*(?:--|//|#+|\\*)[ \\t]+", "").alias("t"))
     return rows.select("doc_id", F.explode(F.split("t", "\\n[ \\t]*(?=\\n)|\\n(?=```)")).alias("block")).where(F.col("block").rlike("[^\\s`]"))
@@ -95,7 +95,7 @@ def votes(block_rows: DataFrame) -> DataFrame:
     are taken from the block's shape, in which every kind of character is one ASCII character.
     """
     has = lambda c, mark, then: F.when(F.contains(c, F.lit(mark)), then).otherwise(c)
-    rows = block_rows.select("doc_id", F.regexp_replace("block", "^\\s+|\\s+$", "").alias("t"))
+    rows = block_rows.select("doc_id", F.trim("block", F.lit(" \t\n\r\x0b\x0c")).alias("t"))
     rows = rows.select("doc_id", F.length("t").alias("chars"), has(F.col("t"), "`", F.regexp_replace("t", "`[^`\\n]{1,80}`", "code")).alias("b"))
     links = F.regexp_replace(F.regexp_replace("b", "\\[([^\\[\\]]*)\\]\\(\\s*(?i:https?)://[^\\s()]*\\)", "$1"), "(?i:https?)://[^\\s<>\"]+", "link")
     rows = rows.select("doc_id", "chars", has(F.col("b"), "://", links).alias("b"))
@@ -114,11 +114,11 @@ def votes(block_rows: DataFrame) -> DataFrame:
         F.size(F.filter("w", lambda w: w.isin(COMMON))).cast("double").alias("common"),
         _count(m, "[aA0),'%][.]+[,')]*(?=\\s|$)").alias("ends"),
         _count(F.col("b"), "(?m)^(?:[ \\t]{2,}|[ \\t]*(?:[-*+•·–|$#{}<«©]|[0-9]+[.)][ \\t])).*[^\\s]|\\|[^\\n|]*\\|").alias("listed"),
-        _count(m, "(?m)^ *[^ \\n]+(?: +[^ \\n]+){7,}").alias("long_lines"),
+        _count(m, "(?m)^ *[^ \\n]+(?: +[^ \\n]+){7}").alias("long_lines"),
         _count(m, "[{}\\[\\];=]|[aA]\\(|'>|&&|\\|\\||[aA]_[aA]|[aA]\\.[aA]").alias("codelike"),
         _count(m, "[^ \\n]+").alias("tokens"),
-        _count(m, "(?<![^ \\n])0+(?:[.,']0+)*[.,]?(?![^ \\n])").alias("numbers"),
-        _count(m, "(?<![^ \\n])[(,'*_]*[aA]+(?:'[aA]+)*[.,;)'*_]*(?![^ \\n])").alias("clean"),
+        _count(m, "(?<![^ \\n])0++(?:[.,']0++)*+[.,]?(?![^ \\n])").alias("numbers"),
+        _count(m, "(?<![^ \\n])[(,'*_]*[aA]++(?:'[aA]++)*+[.,;)'*_]*(?![^ \\n])").alias("clean"),
         _count(F.col("low"), "[bcdfghjklmnpqrstvwxz]{5,}").alias("odd"),
     )
     c = F.col

@@ -110,3 +110,9 @@ def test_em_learns_from_agreement():
     post = textstats.learn(kinds, [votes.count(k) for k in kinds])
     said = np.array([post[kinds.index(v)] > 0.5 for v in votes])
     assert (said == truth).mean() > 0.97
+
+
+def test_odd_long_texts(spark):
+    texts = ["word " * 300_000, " " * 500_000 + "x", "a-" * 200_000, ">" * 200_000, "1," * 200_000, "`" * 100_001, "[" * 100_000, "<" * 100_000, "\n" * 300_000 + "One line.", "a'" * 100_000 + ".", "# " * 100_000]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert textstats.text_types(df).count() == len(texts) and textstats.text_statistics(df).count() == len(texts)
