@@ -119,7 +119,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     candidates = places.select("doc_id", "h").distinct().join(prefix, "h").select("doc_id", "item_id").distinct()
     shared = places.join(spread_items.withColumnRenamed("at", "item_at"), "h").join(candidates, ["doc_id", "item_id"], "left_semi")
     met = shared.groupBy("doc_id", "item_id").agg(F.collect_list("at").alias("doc_at"), F.collect_list("item_at").alias("item_at"), F.count_distinct("at").alias("n")).where(F.col("n") >= need)
-    full = met.join(texts, "doc_id").join(it, "item_id").select("doc_id", "item_id", "doc_words", "item_words", "doc_at", "item_at")
+    met = stage(met)
+    # Of the texts only those of candidates are read again; their ids alone are few and narrow.
+    wanted = stage(met.select("doc_id").distinct())
+    again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi").join(met, "doc_id").join(it, "item_id")
+    full = again.select("doc_id", "item_id", words(F.col("text")).alias("doc_words"), "item_words", "doc_at", "item_at")
     return full.mapInPandas(_verified(window, changes), "doc_id long, item_id long").distinct()
 
 
