@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.functions.shuffle import stage
+from lodestone.functions.shuffle import spread, stage
 
 SHINGLE = 3
 
@@ -124,7 +124,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     wanted = stage(met.select("doc_id").distinct())
     again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi").join(met, "doc_id").join(it, "item_id")
     full = again.select("doc_id", "item_id", words(F.col("text")).alias("doc_words"), "item_words", "doc_at", "item_at")
-    return full.mapInPandas(_verified(window, changes), "doc_id long, item_id long").distinct()
+    return spread(full, "doc_id", "item_id").mapInPandas(_verified(window, changes), "doc_id long, item_id long").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame, item_id: str = "item_id", suite: str = "suite") -> DataFrame:
