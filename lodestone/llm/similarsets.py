@@ -2,7 +2,7 @@
 
 Exact copies of a set are one class. A class gets a binary sketch of one-bit minhashes: a code of `segments` segments of
 `width` bits, and 256 bits more for the Hamming test. Classes join on equal segments, segment by segment, as packed
-arrays of (segment value, set size, class), cut into parts by the value's bits so that a part stays bounded however
+arrays of (segment value, set size, class, half of the Hamming bits), cut into parts by the value's bits so that a part stays bounded however
 many sets there are. For two sets at the threshold a segment agrees with probability ((1 + t) / 2) ** width; the number
 of segments is set so that the chance of missing in all is at most `miss`. Candidates within a Hamming radius four
 standard deviations above the mean at the threshold are verified on the sets themselves.
@@ -31,9 +31,10 @@ def plan_index(n_sets: int, threshold: float, miss: float) -> tuple[int, int]:
     return width, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
-def hamming_radius(threshold: float, deviations: float = 4.0) -> int:
+def hamming_radius(threshold: float, bits: int = CHECK_BITS, deviations: float = 4.0) -> int:
+    """Bits that may differ: the mean for two sets at the threshold and some standard deviations more."""
     p = (1 - threshold) / 2
-    return math.ceil(CHECK_BITS * p + deviations * math.sqrt(CHECK_BITS * p * (1 - p)))
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,47 +104,50 @@ def _sketches(width: int, segments: int, merge: bool):
 _CODED = "cid long, n long, segs binary, w0 long, w1 long, w2 long, w3 long"
 
 
+_PACKED = "seg int, part int, values binary, sizes binary, ids binary, words binary"
+
+
 def _packed_segments(parts: int):
-    """Per batch of sets, segment and part: the values, sizes and classes as arrays of bytes."""
+    """Per batch of sets, segment and part: the values, sizes, classes and first half of the Hamming words as bytes."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for start in range(0, len(b), 3_000):
                 c = b.iloc[start : start + 3_000]
                 values = np.stack([np.frombuffer(s, dtype=np.uint16) for s in c["segs"]])
-                n, ids = c["n"].to_numpy().astype(np.int64), c["cid"].to_numpy().astype(np.int64)
+                n, ids, words = c["n"].to_numpy().astype(np.int64), c["cid"].to_numpy().astype(np.int64), c[["w0", "w1"]].to_numpy().astype(np.int64)
                 rows = []
                 for seg in range(values.shape[1]):
                     v = values[:, seg]
                     for p in range(parts):
                         at = np.flatnonzero(v % parts == p) if parts > 1 else slice(None)
-                        rows.append((seg, p, v[at].tobytes(), n[at].tobytes(), ids[at].tobytes()))
-                yield pd.DataFrame(rows, columns=["seg", "part", "values", "sizes", "ids"])
+                        rows.append((seg, p, v[at].tobytes(), n[at].tobytes(), ids[at].tobytes(), words[at].tobytes()))
+                yield pd.DataFrame(rows, columns=["seg", "part", "values", "sizes", "ids", "words"])
 
     return pack
 
 
 def _collide(threshold: float):
-    """The pairs of classes with equal values in one part of a segment whose sizes allow the threshold."""
+    """The pairs of classes with equal values in one part of a segment whose sizes and half of whose bits allow the threshold."""
+    radius = hamming_radius(threshold, CHECK_BITS // 2)
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame:
         v = np.frombuffer(b"".join(b["values"]), dtype=np.uint16)
-        n = np.frombuffer(b"".join(b["sizes"]), dtype=np.int64)
-        ids = np.frombuffer(b"".join(b["ids"]), dtype=np.int64)
+        n, ids = (np.frombuffer(b"".join(b[x]), dtype=np.int64) for x in ("sizes", "ids"))
+        words = np.frombuffer(b"".join(b["words"]), dtype=np.uint64).reshape(-1, 2)
         order = np.lexsort((n, v))
-        v, n, ids = v[order], n[order], ids[order]
-        left, right = [], []
+        v, n, ids, words = v[order], n[order], ids[order], words[order]
+        left, right = [ids[:0]], [ids[:0]]
         # Sorted by size within a value, the partners of a set are the next ones up to the largest size it allows.
         some, step = np.arange(len(v) - 1), 1
         while len(some := some[some < len(v) - step]):
             some = some[(v[some] == v[some + step]) & (n[some] >= threshold * n[some + step])]
-            left.append(ids[some])
-            right.append(ids[some + step])
+            near = some[np.bitwise_count(words[some] ^ words[some + step]).sum(axis=1) <= radius]
+            left.append(ids[near])
+            right.append(ids[near + step])
             step += 1
-        if not left:
-            return pd.DataFrame({"c1": np.array([], dtype=np.int64), "c2": np.array([], dtype=np.int64)})
         x, y = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"c1": np.minimum(x, y), "c2": np.maximum(x, y)})
+        return pd.DataFrame({"c1": np.minimum(x, y), "c2": np.maximum(x, y)}).drop_duplicates()
 
     return pairs
 
@@ -171,7 +175,7 @@ def similar_sets(df: DataFrame, record: str, element: str, threshold: float, mis
     split = gathered.where(F.col("n") > chunk).select("cid", "n", "hashes").mapInPandas(partial, "cid long, n long, mins binary")
     coded = stage(whole.unionByName(split.groupBy("cid").applyInPandas(merged, _CODED)))
     parts = max(1, math.ceil(coded.count() / 400_000))
-    packed = coded.select("cid", "n", "segs").mapInPandas(_packed_segments(parts), "seg int, part int, values binary, sizes binary, ids binary")
+    packed = coded.select("cid", "n", "segs", "w0", "w1").mapInPandas(_packed_segments(parts), _PACKED)
     hits = spread(packed, "seg", "part").groupBy("seg", "part").applyInPandas(_collide(threshold), "c1 long, c2 long").distinct()
     word = lambda k: coded.select(F.col("cid").alias(f"c{k}"), F.col("n").alias(f"n{k}"), *[F.col(f"w{j}").alias(f"w{k}{j}") for j in range(4)])
     apart = sum((F.bit_count(F.col(f"w1{j}").bitwiseXOR(F.col(f"w2{j}"))) for j in range(4)), F.lit(0))
