@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.shuffle import stage
+
 STRIPES = "item string, neighbours array<string>, counts array<long>"
 
 
@@ -64,7 +66,7 @@ def cooccurrences(df: DataFrame, basket: str, item: str, support: int, lift: flo
     Items in fewer than `support` baskets, or in more than n / lift (n12 is at most n2), cannot be in such a pair.
     """
     rows = df.select(F.col(basket).cast("string").alias("g"), F.col(item).cast("string").alias("i"))
-    rows = rows.where((F.trim("g") != "") & (F.trim("i") != "")).distinct()
+    rows = stage(rows.where((F.trim("g") != "") & (F.trim("i") != "")).distinct())  # read below more than once
     n = rows.agg(F.count_distinct("g").alias("n")).scalar()
     counts = rows.groupBy("i").agg(F.count("*").alias("n_i"))
     able = counts.where((F.col("n_i") >= support) & (F.col("n_i") * F.lit(float(lift)) <= n))
