@@ -115,7 +115,7 @@ def _packed_segments(parts: int):
             for start in range(0, len(b), 3_000):
                 c = b.iloc[start : start + 3_000]
                 values = np.stack([np.frombuffer(s, dtype=np.uint16) for s in c["segs"]])
-                n, ids, words = c["n"].to_numpy().astype(np.int64), c["cid"].to_numpy().astype(np.int64), c[["w0", "w1"]].to_numpy().astype(np.int64)
+                n, ids, words = np.minimum(c["n"].to_numpy(), 2**32 - 1).astype(np.uint32), c["cid"].to_numpy().astype(np.int64), c[["w0", "w1"]].to_numpy().astype(np.int64)
                 rows = []
                 for seg in range(values.shape[1]):
                     v = values[:, seg]
@@ -133,7 +133,7 @@ def _collide(threshold: float):
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame:
         v = np.frombuffer(b"".join(b["values"]), dtype=np.uint16)
-        n, ids = (np.frombuffer(b"".join(b[x]), dtype=np.int64) for x in ("sizes", "ids"))
+        n, ids = np.frombuffer(b"".join(b["sizes"]), dtype=np.uint32), np.frombuffer(b"".join(b["ids"]), dtype=np.int64)
         words = np.frombuffer(b"".join(b["words"]), dtype=np.uint64).reshape(-1, 2)
         order = np.lexsort((n, v))
         v, n, ids, words = v[order], n[order], ids[order], words[order]
