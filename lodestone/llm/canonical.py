@@ -14,7 +14,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import salted_join
+from lodestone.functions.shuffle import salted_join, spread, stage
 
 SLIPS = 2
 #: Common short forms of words in place names.
@@ -128,7 +128,8 @@ def name_matches(values: DataFrame, names: DataFrame, value: str, name: str, nam
     ref = names.select(F.col(name_id).alias("name_id"), _joined(_words(F.col(name))).alias("full")).where(F.col("full") != "")
     regions = names.agg(F.collect_set(F.lower(region))).scalar() if region else F.array().cast("array<string>")
     known = v.withColumn("regions", regions).withColumn("longest", ref.agg(F.coalesce(F.max(F.length("full")), F.lit(0))).scalar())
-    forms = known.select("value", F.explode(_forms(F.col("value"), F.col("regions"), F.col("longest"))).alias("form"))
+    # Few bytes but long work: in as many tasks as there are cores, and once for the exact and the near matches.
+    forms = stage(spread(known, "value").select("value", F.explode(_forms(F.col("value"), F.col("regions"), F.col("longest"))).alias("form")))
     exact = forms.join(ref, forms["form"] == ref["full"]).select("value", "name_id", F.lit(0).alias("slips"))
     rest = forms.join(exact.select("value").distinct(), "value", "left_anti")
     cut = ref.select("name_id", "full", F.length("full").alias("n"), F.explode(_segments(F.length("full"))).alias("s")).select("name_id", "full", "n", "s.seg", F.substring(F.col("full"), F.col("s.at"), F.col("s.len")).alias("part"))
