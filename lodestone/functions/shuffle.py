@@ -49,3 +49,12 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
+
+
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """df, dealt out anew only if it comes in fewer partitions than there are cores.
+
+    For long work on each row of a small table; a large one has its many splits already and is left as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
