@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.functions.shuffle import spread, stage
+from lodestone.functions.shuffle import on_all_cores, spread, stage
 
 SHINGLE = 3
 
@@ -104,7 +104,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     it = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") >= window))
     spread_items = it.select("item_id", F.posexplode(shingles(F.col("item_words"))).alias("at", "h"))
     known = spread_items.select("h").distinct()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("doc_words")).where(F.col("doc_id").isNotNull())
+    given = on_all_cores(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull()))
+    texts = given.select("doc_id", words(F.col("text")).alias("doc_words"))
     # The texts' shingles are read once; what is kept of them occurs in some item.
     places = stage(texts.select("doc_id", F.posexplode(shingles(F.col("doc_words"))).alias("at", "h")).join(known, "h", "left_semi"))
     rarity = places.groupBy("h").agg(F.count("*").alias("df"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import spread, stage
+from lodestone.functions.shuffle import on_all_cores, spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE vocabularies of this kind split text with.
@@ -42,7 +42,7 @@ def token_sizes(df: DataFrame, doc_id: str, text: str, path: str = TOKENIZER) ->
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": counter(b["text"])})
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    return rows.mapInPandas(count, "doc_id long, n_tokens long")
+    return on_all_cores(rows).mapInPandas(count, "doc_id long, n_tokens long")
 
 
 def fullest(counts: dict[int, int], space: int) -> list[int]:

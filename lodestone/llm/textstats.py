@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import stage
+from lodestone.functions.shuffle import on_all_cores, stage
 
 #: Common function words of some languages.
 COMMON = sorted(set("""
@@ -174,7 +174,7 @@ def text_types(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows. The functions' behaviour is learnt from all blocks of df at once.
     """
     texts = df.where(F.col(doc_id).isNotNull() & F.col(text).rlike("\\S"))
-    voted = stage(votes(blocks(texts, doc_id, text)))
+    voted = stage(votes(blocks(on_all_cores(texts.select(doc_id, text)), doc_id, text)))
     table = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** 12 rows
     post = learn([r.pattern for r in table], [r.n for r in table]) if table else []
     known = df.sparkSession.createDataFrame([(r.pattern, float(p)) for r, p in zip(table, post)], "pattern string, prose double")
