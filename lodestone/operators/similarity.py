@@ -58,6 +58,14 @@ def exact_jaccard(df: DataFrame, record: str, element: str, candidates: DataFram
     return both.join(side(1), "record_1").join(side(2), "record_2").select("record_1", "record_2", (F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).alias("similarity"))
 
 
+def overlap_jaccard(df: DataFrame, record: str, element: str) -> DataFrame:
+    """record_1 < record_2, similarity of all pairs that share an element; every other pair has similarity 0."""
+    size = df.select(F.col(record).alias("record"), F.col(element).alias("element")).dropna().distinct().groupBy("record").agg(F.count("*").alias("n"))
+    side = lambda k: size.select(F.col("record").alias(f"record_{k}"), F.col("n").alias(f"n{k}"))
+    both = pairs_sharing(df, record, element, 1).join(side(1), "record_1").join(side(2), "record_2")
+    return both.select("record_1", "record_2", (F.col("n_shared") / (F.col("n1") + F.col("n2") - F.col("n_shared"))).alias("similarity"))
+
+
 def candidate_pairs(banded: DataFrame) -> DataFrame:
     """record_1 < record_2 that agree in all rows of some band."""
     side = lambda k: banded.select("band", "part", F.col("record").alias(f"record_{k}"))

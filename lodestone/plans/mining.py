@@ -142,6 +142,11 @@ def jaccard_exact(s: SparkSession, d: str) -> DataFrame:
     return similarity.exact_jaccard(_train(s, d), "business_id", "user_id", shared.select("record_1", "record_2")).withColumn("similarity", F.round("similarity", 6))
 
 
+def jaccard_overlaps(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of businesses with a user in common and their similarity."""
+    return similarity.overlap_jaccard(_train(s, d), "business_id", "user_id").withColumn("similarity", F.round("similarity", 6))
+
+
 def ordinal_index(s: SparkSession, d: str) -> DataFrame:
     return similarity.ordinals(_train(s, d), "user_id")
 
@@ -240,10 +245,19 @@ def item_stats(s: SparkSession, d: str) -> DataFrame:
     return recommend.means(_rated(s, d), "item").withColumn("avg_stars", F.round("avg_stars", 6))
 
 
+def _weights(s: SparkSession, d: str, least: int) -> DataFrame:
+    wanted = similarity.pairs_sharing(_rated(s, d), "item", "user", least).select(F.col("record_1").alias("item_1"), F.col("record_2").alias("item_2"))
+    return recommend.pearson_weights(_rated(s, d), wanted).withColumn("weight", F.round("weight", 6))
+
+
 def pearson_pairs(s: SparkSession, d: str) -> DataFrame:
     """Weights of all pairs of businesses with at least two users in common."""
-    wanted = similarity.pairs_sharing(_rated(s, d), "item", "user", 2).select(F.col("record_1").alias("item_1"), F.col("record_2").alias("item_2"))
-    return recommend.pearson_weights(_rated(s, d), wanted).withColumn("weight", F.round("weight", 6))
+    return _weights(s, d, 2)
+
+
+def pearson_overlaps(s: SparkSession, d: str) -> DataFrame:
+    """Weights of all pairs of businesses with a user in common."""
+    return _weights(s, d, 1)
 
 
 def _cf(s: SparkSession, d: str) -> DataFrame:
@@ -435,6 +449,7 @@ ORACLES = {
     "label_propagation": _LABELS + " SELECT vertex, label FROM l5",
     "community_lines": _LABELS + ", c AS (SELECT label, list(vertex ORDER BY vertex) AS m FROM l5 GROUP BY 1) SELECT len(m) AS size, '''' || array_to_string(m, ''', ''') || '''' AS value FROM c",
     "jaccard_exact": _T[:-2] + _JACCARD + "SELECT record_1, record_2, similarity FROM jc WHERE m >= 2",
+    "jaccard_overlaps": _T[:-2] + _JACCARD + "SELECT record_1, record_2, similarity FROM jc",
     "ordinal_index": "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS ordinal FROM (SELECT DISTINCT user_id FROM yelp_train WHERE user_id IS NOT NULL)",
     "minhash_signature": _SIG + " SELECT * FROM sg",
     "union_bands": _BANDS + " SELECT band, count(*) AS n_records, count(DISTINCT (p, q)) AS n_parts FROM bd GROUP BY band",
@@ -455,6 +470,7 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_e
     "user_stats": _R + ' SELECT "user", count(*) AS n_ratings, round(avg(stars), 6) AS avg_stars FROM r GROUP BY 1',
     "item_stats": _R + " SELECT item, count(*) AS n_ratings, round(avg(stars), 6) AS avg_stars FROM r GROUP BY 1",
     "pearson_pairs": _ONE + ', w AS (SELECT x.item AS item_1, y.item AS item_2 FROM o x JOIN o y ON x."user" = y."user" AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 2)' + _WEIGHT + " SELECT item_1, item_2, round(weight, 6) AS weight FROM pw",
+    "pearson_overlaps": _ONE + ', w AS (SELECT DISTINCT x.item AS item_1, y.item AS item_2 FROM o x JOIN o y ON x."user" = y."user" AND x.item < y.item)' + _WEIGHT + " SELECT item_1, item_2, round(weight, 6) AS weight FROM pw",
     "cf_predict": _CF + 'SELECT "user", item, prediction FROM p',
     "rmse": _CF + "SELECT count(*) AS n, round(sqrt(avg(power(prediction - stars, 2))), 6) AS rmse FROM j",
     "error_histogram": _CF + "SELECT CAST(least(floor(abs(prediction - stars)), 4) AS INTEGER) AS bin, count(*) AS n_rows FROM j GROUP BY 1",

@@ -1,0 +1,17 @@
+"""What the queries left out before."""
+
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.plans import mining
+
+
+def test_pairs_with_one_user_in_common(spark, tmp_path):
+    sets = {"a": {"u1"}, "b": {"u1"}, "c": {"u1", "u2", "u3"}, "d": {"u2", "u3"}, "e": {"u9"}}
+    rated = spark.createDataFrame([(u, b, 1.0 + len(b + u) + int(u[1:]) % 2) for b, s in sets.items() for u in s], "user_id string, business_id string, stars double")
+    rated.write.parquet(str(tmp_path / "yelp_train.parquet"))
+    want = {(x, y): round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 6) for x, y in combinations(sorted(sets), 2) if sets[x] & sets[y]}
+    assert {(r.record_1, r.record_2): r.similarity for r in mining.QUERIES["jaccard_overlaps"](spark, str(tmp_path)).collect()} == want and want["a", "b"] == 1.0
+    assert {(r.item_1, r.item_2) for r in mining.QUERIES["pearson_overlaps"](spark, str(tmp_path)).collect()} == {*want}
