@@ -41,40 +41,43 @@ def grown(frequent: set[tuple]) -> set[tuple]:
     return out
 
 
-def local_itemsets(sets: list[list[str]], support: float, longest: int) -> list[tuple]:
-    """All itemsets in at least `support` of the sets, level by level."""
+def local_itemsets(sets: list[list[str]], support: float, longest: int | None = None) -> list[tuple]:
+    """All itemsets in at least `support` of the sets, level by level until a level is empty or `longest` is reached.
+
+    Each itemset has a bit for every set that holds it, so a level is counted from the one before.
+    """
     counts = Counter(x for s in sets for x in s)
-    level = {(x,) for x, n in counts.items() if n >= support}
+    held = {x: bytearray(len(sets) // 8 + 1) for x, n in counts.items() if n >= support}
+    for i, s in enumerate(sets):
+        for x in s:
+            if x in held:
+                held[x][i >> 3] |= 1 << (i & 7)
+    level = {(x,): int.from_bytes(b, "little") for x, b in held.items()}
     found, size = [*level], 1
-    while level and size < longest:
-        able = {x for s in level for x in s}
-        wanted, size = grown(level), size + 1
-        tally: Counter = Counter()
-        for s in sets:
-            own = [x for x in s if x in able]
-            if len(own) >= size:
-                tally.update(c for c in combinations(own, size) if c in wanted)
-        level = {c for c, n in tally.items() if n >= support}
+    while level and (longest is None or size < longest):
+        size += 1
+        both = ((c, level[c[:-1]] & level[(*c[:-2], c[-1])]) for c in grown({*level}))
+        level = {c: bits for c, bits in both if bits.bit_count() >= support}
         found += level
     return found
 
 
-def candidate_itemsets(basket_rows: DataFrame, support: int, total: int, longest: int = 3, chunk: int = 20_000) -> DataFrame:
+def candidate_itemsets(basket_rows: DataFrame, support: int, total: int, longest: int | None = None, chunk: int = 20_000) -> DataFrame:
     """items: the itemsets frequent in some chunk at the support scaled to its size, a superset of the frequent ones."""
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[str]] = []
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"items": [[*s] for s in local_itemsets(held, len(held) / total * support, longest)]})
+        def out(sets: list[list[str]]) -> pd.DataFrame:
+            return pd.DataFrame({"items": [[*s] for s in local_itemsets(sets, len(sets) / total * support, longest)]})
 
         for b in batches:
             held += [[*s] for s in b["items"]]
-            if len(held) >= 2 * chunk:
-                yield out()
-                held = []
+            while len(held) >= 2 * chunk:  # at least a chunk stays: in a few baskets almost every subset is frequent
+                yield out(held[:chunk])
+                held = held[chunk:]
         if held:
-            yield out()
+            yield out(held)
 
     parts = max(1, total // chunk)
     return basket_rows.select("items").repartition(parts).mapInPandas(mine, "items array<string>").distinct()
@@ -88,8 +91,8 @@ def counted(basket_rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return inside.groupBy("items", "size").agg(F.count("*").alias("n"))
 
 
-def frequent_itemsets(basket_rows: DataFrame, share: float, longest: int = 3) -> DataFrame:
-    """items, size, n of the itemsets of up to `longest` items in at least `share` of all baskets. Exact."""
+def frequent_itemsets(basket_rows: DataFrame, share: float, longest: int | None = None) -> DataFrame:
+    """items, size, n of the itemsets, of up to `longest` items if given, in at least `share` of all baskets. Exact."""
     total = basket_rows.count()
     if not total:
         return basket_rows.select("items", F.lit(0).alias("size"), F.lit(0).cast("long").alias("n")).limit(0)

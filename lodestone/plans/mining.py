@@ -81,7 +81,7 @@ def itemset_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def itemset_triples(s: SparkSession, d: str) -> DataFrame:
-    return itemset_son(s, d).where(F.col("size") == 3)
+    return _sets(itemsets.frequent_itemsets(_baskets(s, d), SHARE, 3)).where(F.col("size") == 3)
 
 
 def itemset_lines(s: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ def itemset_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def fpgrowth_itemsets(s: SparkSession, d: str) -> DataFrame:
-    return _sets(itemsets.fpgrowth_itemsets(_baskets(s, d), SHARE)).where(F.col("size") <= 3)
+    return _sets(itemsets.fpgrowth_itemsets(_baskets(s, d), SHARE))
 
 
 def set_containment(s: SparkSession, d: str) -> DataFrame:

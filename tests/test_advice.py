@@ -1,10 +1,13 @@
 """What the queries left out before."""
 
+import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import itemsets
 from lodestone.plans import mining
 
 
@@ -15,3 +18,21 @@ def test_pairs_with_one_user_in_common(spark, tmp_path):
     want = {(x, y): round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 6) for x, y in combinations(sorted(sets), 2) if sets[x] & sets[y]}
     assert {(r.record_1, r.record_2): r.similarity for r in mining.QUERIES["jaccard_overlaps"](spark, str(tmp_path)).collect()} == want and want["a", "b"] == 1.0
     assert {(r.item_1, r.item_2) for r in mining.QUERIES["pearson_overlaps"](spark, str(tmp_path)).collect()} == {*want}
+
+
+def test_itemsets_of_any_size(spark, tmp_path):
+    rng = random.Random(8)
+    sets = {f"g{k}": {f"i{rng.randrange(6)}" for _ in range(rng.randrange(1, 16))} for k in range(90)}
+    spark.createDataFrame([(g, i) for g, s in sets.items() for i in s], "user_id string, business_id string").write.parquet(str(tmp_path / "ub_sample_data.parquet"))
+    tally = Counter(c for s in sets.values() for k in range(1, len(s) + 1) for c in combinations(sorted(s), k))
+    want = {"|".join(c): n for c, n in tally.items()}
+    assert max(len(c) for c in tally) == 6
+    run = lambda name: mining.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.itemset: r.n for r in run("itemset_son")} == {r.itemset: r.n for r in run("fpgrowth_itemsets")} == want
+    assert {r.itemset for r in run("itemset_candidates")} >= {*want} and any(r.value.count("i") >= 4 for r in run("itemset_lines") if r.value.startswith("('i0', 'i1', 'i2', 'i3')"))
+    assert {r.itemset for r in run("itemset_triples")} == {x for x in want if x.count("|") == 2}
+    b = itemsets.baskets(spark.createDataFrame([(g, i) for g, s in sets.items() for i in s], "g string, i string"), "g", "i")
+    deep = {c: n for c, n in tally.items() if n >= 18}
+    assert max(map(len, deep)) >= 4 and {tuple(r["items"]): r.n for r in itemsets.frequent_itemsets(b, 0.2).collect()} == deep
+    cut = itemsets.counted(b, itemsets.candidate_itemsets(b, 18, 90, chunk=20)).where("n >= 18")
+    assert {tuple(r["items"]): r.n for r in cut.collect()} == deep
