@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.similarity import ordinals
+
 #: The attributes that count one where their text is "True".
 TRUE_FLAGS = (
     "BusinessAcceptsCreditCards", "DogsAllowed", "DriveThru", "GoodForKids", "HasTV", "OutdoorSeating", "RestaurantsDelivery", "RestaurantsGoodForGroups",
@@ -113,3 +115,10 @@ def simple_features(pairs: DataFrame, rated: DataFrame, users: DataFrame, busine
     else:
         wide = pairs.join(ue, "user", "left").join(be, "item", "left")
     return wide.fillna({k: float(m[k] or 0.0) for k in ("u_count", "u_avg", "b_count", "b_avg")} | {"u_useful": 0.0})
+
+
+def indexed(rows: DataFrame, rated: DataFrame, users: DataFrame) -> DataFrame:
+    """rows with user_idx and business_idx: places among the sorted users of the table and among the sorted rated items; -1 for others."""
+    ui = ordinals(users, "user_id").select(F.col("user_id").alias("user"), F.col("ordinal").cast("double").alias("user_idx"))
+    bi = ordinals(rated, "item").select("item", F.col("ordinal").cast("double").alias("business_idx"))
+    return rows.join(ui, "user", "left").join(bi, "item", "left").fillna({"user_idx": -1.0, "business_idx": -1.0})

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMPLE = ("u_count", "u_avg", "b_count", "b_avg", "u_useful")
+INDEXED = ("user_idx", "business_idx", *SIMPLE)
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def boosted(train: DataFrame, test: DataFrame, columns: list[str], trees: int = 20, depth: int = 5, step: float = 0.1) -> DataFrame:
+def boosted(train: DataFrame, test: DataFrame, columns: list[str], trees: int = 100, depth: int = 5, step: float = 0.1) -> DataFrame:
     """test with a prediction by boosted trees fitted to train's stars."""
     model = GBTRegressor(labelCol="stars", maxIter=trees, maxDepth=depth, stepSize=step, seed=42).fit(assembled(train, columns))
     return model.transform(assembled(test, columns)).drop("features")
 
 
-def stacked(train: DataFrame, test: DataFrame, columns: list[str], key: list[str], folds: int = 5, trees: int = 10) -> DataFrame:
+def stacked(train: DataFrame, test: DataFrame, columns: list[str], key: list[str], folds: int = 5, trees: int = 200, forest: int = 100) -> DataFrame:
     """test with a prediction by a linear model over two base models.
 
     Each base model is fitted once per fold on the other folds and predicts the fold left out; the linear model learns
@@ -29,11 +32,15 @@ def stacked(train: DataFrame, test: DataFrame, columns: list[str], key: list[str
     rows = assembled(train, columns).withColumn("fold", F.pmod(F.xxhash64(*key, F.lit(42)), F.lit(folds))).select(*key, "stars", "features", "fold").persist()
     want = assembled(test, columns).select(*key, "features")
     left_out, on_test = None, want
-    makers = [lambda: GBTRegressor(labelCol="stars", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42), lambda: RandomForestRegressor(labelCol="stars", numTrees=2 * trees, maxDepth=6, seed=42)]
+    makers = [lambda: GBTRegressor(labelCol="stars", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42), lambda: RandomForestRegressor(labelCol="stars", numTrees=forest, maxDepth=6, seed=42)]
+    fit = lambda k: makers[k[1]]().setPredictionCol(f"p{k[1]}").fit(rows.where(F.col("fold") != k[0]))
+    keys = [(fold, i) for fold in range(folds) for i in range(len(makers))]
+    with ThreadPoolExecutor(len(keys)) as pool:  # the fits are many short jobs
+        models = dict(zip(keys, pool.map(fit, keys)))
     for fold in range(folds):
         part = rows.where(F.col("fold") == fold)
-        for i, make in enumerate(makers):
-            model = make().setPredictionCol(f"p{i}").fit(rows.where(F.col("fold") != fold))
+        for i in range(len(makers)):
+            model = models[fold, i]
             part = model.transform(part)
             on_test = model.setPredictionCol(f"t{i}_{fold}").transform(on_test)
         part = part.select("stars", "p0", "p1")

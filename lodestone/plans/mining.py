@@ -320,7 +320,8 @@ def _model(s: SparkSession, d: str) -> DataFrame:
     users, shops, rated = load(s, d, "yelp_user"), load(s, d, "business"), _rated(s, d)
     train = features.simple_features(rated, rated, users, shops, training=True)
     test = features.simple_features(_truth(s, d), rated, users, shops, training=False)
-    return learning.boosted(train, test, [*learning.SIMPLE], step=0.05)
+    at = lambda rows: features.indexed(rows, rated, users)
+    return learning.boosted(at(train), at(test), [*learning.INDEXED], trees=100, step=0.05)
 
 
 def model_predict(s: SparkSession, d: str) -> DataFrame:
@@ -339,7 +340,7 @@ def stacking(s: SparkSession, d: str) -> DataFrame:
     users, shops, rated = load(s, d, "yelp_user"), load(s, d, "business"), _rated(s, d)
     train = features.joined_features(rated, users, shops)
     test = features.joined_features(_truth(s, d), users, shops, rated)
-    return learning.stacked(train, test, [c for c in train.columns if c[:2] in ("u_", "b_", "a_")], ["user", "item"])
+    return learning.stacked(train, test, [c for c in train.columns if c[:2] in ("u_", "b_", "a_")], ["user", "item"], trees=200, forest=100)
 
 
 _R = "WITH r AS (SELECT user_id AS \"user\", business_id AS item, stars FROM yelp_train WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL), v AS (SELECT user_id AS \"user\", business_id AS item, stars FROM yelp_val)"

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import itemsets
+from lodestone.operators import features, itemsets, learning
 from lodestone.plans import mining
 
 
@@ -36,3 +36,27 @@ def test_itemsets_of_any_size(spark, tmp_path):
     assert max(map(len, deep)) >= 4 and {tuple(r["items"]): r.n for r in itemsets.frequent_itemsets(b, 0.2).collect()} == deep
     cut = itemsets.counted(b, itemsets.candidate_itemsets(b, 18, 90, chunk=20)).where("n >= 18")
     assert {tuple(r["items"]): r.n for r in cut.collect()} == deep
+
+
+def test_models_have_the_rounds_and_features_of_the_reference(spark, monkeypatch):
+    asked = {}
+
+    def told(kind, rounds):
+        make = getattr(learning, kind)
+        monkeypatch.setattr(learning, kind, lambda **x: asked.setdefault(kind, set()).add(x[rounds]) or make(**x | {rounds: 2}))
+
+    told("GBTRegressor", "maxIter"), told("RandomForestRegressor", "numTrees")
+    boosted = learning.boosted
+    monkeypatch.setattr(learning, "boosted", lambda train, test, columns, **x: asked.update(columns=columns) or boosted(train, test, columns, **x))
+    n = mining.QUERIES["model_predict"](spark, "/root/testdata/sf0.001").count()
+    assert n and asked == {"columns": [*learning.INDEXED], "GBTRegressor": {100}} and len(learning.INDEXED) == 7
+    asked.clear()
+    assert mining.QUERIES["stacking"](spark, "/root/testdata/sf0.001").count() == n and asked == {"GBTRegressor": {200}, "RandomForestRegressor": {100}}
+
+
+def test_indices_of_users_and_businesses(spark):
+    rated = spark.createDataFrame([("u3", "b2"), ("u1", "b1")], "user string, item string")
+    users = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "user_id string")
+    asked = spark.createDataFrame([("u3", "b1"), ("u2", "b2"), ("new", "b9")], "user string, item string")
+    got = {(r.user, r.item): (r.user_idx, r.business_idx) for r in features.indexed(asked, rated, users).collect()}
+    assert got == {("u3", "b1"): (2.0, 0.0), ("u2", "b2"): (1.0, 1.0), ("new", "b9"): (-1.0, -1.0)}
