@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,32 +87,31 @@ def edge_betweenness(edges: DataFrame, broadcast_edges: int = 500_000) -> DataFr
     return parts.groupBy("src", "dst").agg((F.sum("carried") / 2).alias("betweenness"))
 
 
-def betweenness_by_joins(edges: DataFrame, most_levels: int = 1_000) -> DataFrame:
+def betweenness_by_joins(edges: DataFrame) -> DataFrame:
     """The same from all vertices at once: a level of the walks is a join of the frontier with the edges."""
     links = stage(both_ways(edges).distinct())
-    frontier = stage(links.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("v"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
-    reached, levels = frontier, 0
-    while levels < most_levels:
-        step = frontier.join(links, frontier["v"] == links["src"]).select("root", F.col("dst").alias("v"), "paths")
-        new = step.groupBy("root", "v").agg(F.sum("paths").alias("paths")).join(reached.select("root", "v"), ["root", "v"], "left_anti")
-        frontier = stage(new.select("root", "v", F.lit(levels + 1).alias("depth"), "paths"))
-        if frontier.isEmpty():
+    levels = [stage(links.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("v"), F.lit(1.0).alias("paths")))]
+    while True:  # a neighbour of a level lies in that level, the one before or the next
+        step = levels[-1].join(links, levels[-1]["v"] == links["src"]).select("root", F.col("dst").alias("v"), "paths")
+        new = step.groupBy("root", "v").agg(F.sum("paths").alias("paths"))
+        for known in levels[-2:]:
+            new = new.join(known.select("root", "v"), ["root", "v"], "left_anti")
+        new = stage(new.select("root", "v", "paths"))
+        if new.isEmpty():
             break
-        reached, levels = reached.unionByName(frontier), levels + 1
-    reached = stage(reached)
-    credit = reached.where(F.col("depth") == levels).select("root", "v", F.lit(1.0).alias("credit"))
+        levels.append(new)
+    credit = levels[-1].select("root", "v", F.lit(1.0).alias("credit"))
     carried = []
-    for depth in range(levels, 0, -1):
-        low = reached.where(F.col("depth") == depth).join(credit, ["root", "v"]).select("root", F.col("v").alias("w"), F.col("paths").alias("pw"), "credit")
-        high = reached.where(F.col("depth") == depth - 1).select("root", "v", F.col("paths").alias("pv"))
+    for depth in range(len(levels) - 1, 0, -1):
+        low = levels[depth].join(credit, ["root", "v"]).select("root", F.col("v").alias("w"), F.col("paths").alias("pw"), "credit")
+        high = levels[depth - 1].select("root", "v", F.col("paths").alias("pv"))
         used = low.join(links, F.col("w") == F.col("src")).select("root", "w", "pw", "credit", F.col("dst").alias("v")).join(high, ["root", "v"])
         used = stage(used.select("root", "v", "w", (F.col("credit") * F.col("pv") / F.col("pw")).alias("part")))
         carried.append(used.select(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst"), "part"))
+        if len(carried) > 50:
+            carried = [stage(reduce(DataFrame.unionByName, carried).groupBy("src", "dst").agg(F.sum("part").alias("part")))]
         got = used.groupBy("root", "v").agg(F.sum("part").alias("got"))
-        credit = high.join(got, ["root", "v"], "left").select("root", "v", (1 + F.coalesce("got", F.lit(0.0))).alias("credit"))
+        credit = stage(high.join(got, ["root", "v"], "left").select("root", "v", (1 + F.coalesce("got", F.lit(0.0))).alias("credit")))
     if not carried:
         return edges.select("src", "dst", F.lit(0.0).alias("betweenness")).limit(0)
-    every = carried[0]
-    for c in carried[1:]:
-        every = every.unionByName(c)
-    return every.groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness"))
+    return reduce(DataFrame.unionByName, carried).groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness"))

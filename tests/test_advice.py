@@ -1,5 +1,6 @@
 """What the queries left out before."""
 
+import inspect
 import random
 from collections import Counter
 from itertools import combinations
@@ -7,7 +8,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import features, itemsets, learning
+from lodestone.llm import overlap, packing
+from lodestone.operators import features, graph, itemsets, learning, nested
 from lodestone.plans import mining
 
 
@@ -60,3 +62,11 @@ def test_indices_of_users_and_businesses(spark):
     asked = spark.createDataFrame([("u3", "b1"), ("u2", "b2"), ("new", "b9")], "user string, item string")
     got = {(r.user, r.item): (r.user_idx, r.business_idx) for r in features.indexed(asked, rated, users).collect()}
     assert got == {("u3", "b1"): (2.0, 0.0), ("u2", "b2"): (1.0, 1.0), ("new", "b9"): (-1.0, -1.0)}
+
+
+def test_walks_made_of_joins_have_no_level_cap(spark):
+    assert [*inspect.signature(graph.betweenness_by_joins).parameters] == ["edges"]
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "d"), ("e", "f")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = lambda **x: {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(df, **x).collect()}
+    assert got(broadcast_edges=0) == pytest.approx(got())
