@@ -4,7 +4,7 @@ A first pass reads the schema graph: which element occurs within which. Elements
 shared (occur within more than one other element) or recur (lie on a cycle) get a table; all others are inlined as
 columns of the nearest table above. A second pass writes the rows with their keys: a row's own place, and the place
 and table of its parent row. Both passes read the values in parallel; only the graph, whose size is the schema's and
-not the data's, comes to the driver, and a graph beyond `max_elements` is an error.
+not the data's, comes to the driver; beyond `max_elements` edges, where member names are data, every element gets a table.
 """
 
 from __future__ import annotations
@@ -183,16 +183,18 @@ def entries(df: DataFrame, record_id: str, attributes: str) -> DataFrame:
     return df.select(F.col(record_id).cast("string").alias("record_id"), F.explode(attributes).alias("name", "text")).where(F.col("text").isNotNull())
 
 
-def schema_graph(members: DataFrame, max_elements: int = 20_000) -> list[tuple[str, str]]:
-    """The distinct (parent element, element) pairs, sorted."""
+def schema_graph(members: DataFrame, max_elements: int = 20_000) -> list[tuple[str, str]] | None:
+    """The distinct (parent element, element) pairs, sorted; None if there are more than max_elements."""
     found = members.select("name", "text").mapInPandas(_edges, "parent string, element string").distinct().limit(max_elements + 1).collect()
     if len(found) > max_elements:
-        raise ValueError(f"more than {max_elements} edges in the schema graph: member names look like data")
+        return None
     return sorted((r.parent, r.element) for r in found)
 
 
-def tabled(graph: list[tuple[str, str]]) -> set[str]:
-    """The elements with a table of their own: repeated, shared or recursive ones, and the record."""
+def tabled(graph: list[tuple[str, str]] | None) -> set[str] | None:
+    """The elements with a table of their own: repeated, shared or recursive ones, and the record. None, for all, without a graph."""
+    if graph is None:
+        return None
     parents: dict[str, set[str]] = {}
     children: dict[str, set[str]] = {}
     for p, e in graph:
@@ -212,8 +214,8 @@ def tabled(graph: list[tuple[str, str]]) -> set[str]:
     return {ROOT} | {e for e, ps in parents.items() if e.endswith("[]") or len(ps) > 1 or recurs(e)}
 
 
-def inlined_rows(members: DataFrame, tables: set[str]) -> DataFrame:
-    """The rows of all tables: table_name, record_id, row_path, parent_table, parent_path, ordinal, columns.
+def inlined_rows(members: DataFrame, tables: set[str] | None) -> DataFrame:
+    """The rows of all tables, of every element if tables is None: table_name, record_id, row_path, parent_table, parent_path, ordinal, columns.
 
     (record_id, row_path) is a row's key and (record_id, parent_path) its foreign key into parent_table; row_path is ""
     for the record itself. columns has the inlined nodes by their path from the row, null for objects and arrays; a
@@ -229,7 +231,7 @@ def inlined_rows(members: DataFrame, tables: set[str]) -> DataFrame:
                 home: dict[str, int] = {"": len(out)}
                 out.append([ROOT, record, "", None, None, None, {}])
                 for path, above, element, _, at, x in walk(name, text):
-                    if element in tables:
+                    if tables is None or element in tables:
                         up = out[home[above]]
                         home[path] = len(out)
                         out.append([element, record, path, up[0], up[2], at, {} if x is None else {"": x}])
@@ -247,13 +249,13 @@ def inlined_rows(members: DataFrame, tables: set[str]) -> DataFrame:
     return members.mapInPandas(rows, _ROWS)
 
 
-def flatten(df: DataFrame, record_id: str, attributes: str) -> DataFrame:
+def flatten(df: DataFrame, record_id: str, attributes: str, max_elements: int = 20_000) -> DataFrame:
     """inlined_rows of a map column of texts. Runs the pass over the schema graph at once.
 
     Null maps, empty maps and absent values give no rows; a text that is damaged is one scalar; repeated rows repeat.
     """
     members = entries(df, record_id, attributes)
-    return inlined_rows(members, tabled(schema_graph(members)))
+    return inlined_rows(members, tabled(schema_graph(members, max_elements)))
 
 
 def node_paths(rows: DataFrame) -> DataFrame:

@@ -70,3 +70,13 @@ def test_walks_made_of_joins_have_no_level_cap(spark):
     df = spark.createDataFrame(edges, "src string, dst string")
     got = lambda **x: {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(df, **x).collect()}
     assert got(broadcast_edges=0) == pytest.approx(got())
+
+
+def test_many_member_names_give_tables_for_all(spark):
+    df = spark.createDataFrame([("r1", {"Hours": "{'m': {'open': 1}, 't': [2, {'x': 3}]}", "a": "1"}), ("r2", {"b": "{'m': 4}"})], "id string, attributes map<string,string>")
+    paths = lambda rows: sorted((r.record_id, r.node_path) for r in nested.node_paths(rows).collect())
+    want = paths(nested.flatten(df, "id", "attributes"))
+    few = nested.flatten(df, "id", "attributes", max_elements=3)
+    assert paths(few) == want and len(want) == 10
+    keys = {(r.record_id, r.row_path) for r in few.collect()}
+    assert all((r.record_id, r.parent_path) in keys or r.parent_path in ("", None) for r in few.collect())
