@@ -119,7 +119,7 @@ def containers(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
     Repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     sizes = stage(token_sizes(df, doc_id, text, path).withColumn("row_no", F.monotonically_increasing_id()))
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    total = sizes.agg(F.coalesce(F.sum(F.col("n_tokens") % capacity), F.lit(0)).alias("n")).first()["n"]
     pools = max(1, total // (capacity * pool_bins))
     last = F.greatest(F.floor((F.col("n_tokens") - 1) / capacity), F.lit(0)).cast("int")
     cut = sizes.select("doc_id", "row_no", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))

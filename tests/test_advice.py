@@ -80,3 +80,13 @@ def test_many_member_names_give_tables_for_all(spark):
     assert paths(few) == want and len(want) == 10
     keys = {(r.record_id, r.row_path) for r in few.collect()}
     assert all((r.record_id, r.parent_path) in keys or r.parent_path in ("", None) for r in few.collect())
+
+
+def test_pools_follow_the_rests(spark):
+    texts = ["a b " * 60] * 20 + ["a b"] * 12  # most tokens lie in full pieces
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sizes = {r.doc_id: r.n_tokens for r in packing.token_sizes(df, "doc_id", "text").collect()}
+    rests = sum(n % 8 for n in sizes.values())
+    out = packing.containers(df, capacity=8, pool_bins=rests).collect()
+    assert sum(r.n_tokens for r in out) == sum(sizes.values()) > 8 * rests
+    assert len({r.container_id // 10_000_000 for r in out if r.container_id >= 0}) == 1
