@@ -184,6 +184,11 @@ def bloom_fpr(s: SparkSession, d: str) -> DataFrame:
     return sketches.bloom_rates(_events(s, d), _number(), BATCH)
 
 
+def bloom_fpr_ids(s: SparkSession, d: str) -> DataFrame:
+    """The same over the events' own ids, of which there are as many as events."""
+    return sketches.bloom_rates(_events(s, d), F.col("event_id"), BATCH)
+
+
 def fm_distinct(s: SparkSession, d: str) -> DataFrame:
     return sketches.distinct_estimates(_events(s, d), F.col("user_id"), BATCH)
 
@@ -221,6 +226,10 @@ def stream_bloom_structured(s: SparkSession, d: str) -> DataFrame:
     return micro.bloom_rates_of(micro.drained(micro.stream_bloom(micro.as_stream(_events(s, d)), _number(), BATCH), "append"))
 
 
+def stream_bloom_ids_structured(s: SparkSession, d: str) -> DataFrame:
+    return micro.bloom_rates_of(micro.drained(micro.stream_bloom(micro.as_stream(_events(s, d)), F.col("event_id"), BATCH), "append"))
+
+
 def stream_window_counts(s: SparkSession, d: str) -> DataFrame:
     return micro.drained(micro.windowed_counts(micro.as_stream(_events(s, d)), "ts", "event_type"), "complete")
 
@@ -393,6 +402,7 @@ _BLOOM = (
 fa AS (SELECT seq // {BATCH} AS batch, count(*) FILTER (WHERE last_set < seq) AS n_false, count(*) AS n_new FROM kn GROUP BY 1), n AS (SELECT batch, count(*) AS n FROM b GROUP BY 1)
 SELECT n.batch, coalesce(n_false, 0) AS n_false, coalesce(n_new, 0) AS n_new, CAST(coalesce(n_false, 0) AS DOUBLE) / n AS fpr, CAST(n_false AS DOUBLE) / n_new AS fpr_new FROM n LEFT JOIN fa ON fa.batch = n.batch"""
 )
+_BLOOM_IDS = _BLOOM.replace("(event_id * 31 + user_id) % 30011 AS id", "event_id AS id")
 _PICK = _E + f"SELECT (batch + 1) * 100 AS seqnum, " + ", ".join(f"max(user_id) FILTER (WHERE seq % 100 = {k}) AS id_{k}" for k in (0, 20, 40, 60, 80)) + " FROM b GROUP BY batch"
 _FM = (
     _E
@@ -460,6 +470,8 @@ ORACLES = {
     "stream_positional_structured": _PICK,
     "bloom_fpr": _BLOOM,
     "stream_bloom_structured": _BLOOM,
+    "bloom_fpr_ids": _BLOOM_IDS,
+    "stream_bloom_ids_structured": _BLOOM_IDS,
     "fm_distinct": _FM + "SELECT batch, n_distinct, estimate FROM n JOIN md USING (batch)",
     "stream_fm_structured": _FM + "SELECT batch, n_distinct, estimate FROM n JOIN md USING (batch)",
     "fm_totals": _FM + "SELECT CAST(sum(n_distinct) AS BIGINT) AS n_distinct, sum(estimate) AS estimate FROM n JOIN md USING (batch)",

@@ -98,3 +98,9 @@ def test_short_ids_with_two_slips(spark):
     t = spark.createDataFrame([(i, "u" * 9, x) for i, x in enumerate(train)], "rating_id long, user_id string, business_id string")
     want = {(i, j) for i, x in enumerate(ids) for j, y in enumerate(train) if overlap.slips_between(x, y.lower()) is not None}
     assert {(r.eval_rating_id, r.train_rating_id) for r in overlap.split_overlaps(t, e).collect()} == want
+
+
+def test_bloom_over_more_ids_than_the_fold_has(spark, tmp_path):
+    spark.range(40_000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.lit("x").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    new = mining.QUERIES["bloom_fpr_ids"](spark, str(tmp_path)).agg(F.sum("n_new"), F.sum("n_false")).first()
+    assert new[0] == 40_000 and new[1] > 0
