@@ -1,8 +1,9 @@
 """Problem 5: several values packed in one text, one row per value with its position.
 
-A text's skeleton is what is left when its ordinary characters are masked out: its first and last character, where
-these are marks, and the set of marks within. There are at most 13 * 13 * 2**11 skeletons whatever the table's size, so
-the splitting rules resolved for the distinct ones are safe to broadcast; each text is then cut by its skeleton's rule.
+A text's skeleton is what is left when its ordinary characters and its quoted parts are masked out: the notation (list
+literal or fields), whether it has quotes, and which delimiters stand outside of quotes. There are at most 2 ** 12
+skeletons whatever the table's size, so the splitting rules resolved for the distinct ones are safe to broadcast. A
+rule holds the pattern that cuts at its skeleton's own delimiters and at no others; each text is cut by its rule.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 
 DELIMITERS = ",;|、，\n\r\t"
 _CLASS = ",;|、，\\n\\r\\t"
-_MARKS = _CLASS + "\\[\\]\"\\\\"
 _BLANK = "\\s\\u00a0\\u3000\\ufeff"
-#: A quoted field that ends where a delimiter or the text does (a doubled quote is a quote), or a run without delimiters.
-_FIELD = f'[{_BLANK}]*"[^"]*+(?:""[^"]*+)*+"[{_BLANK}]*(?=[{_CLASS}]|$)|[^{_CLASS}]++'
+#: A quoted field (a doubled quote is a quote) up to a delimiter of the class {0} or the text's end.
+_QUOTED = '{1}"[^"]*+(?:""[^"]*+)*+"{1}(?=[{0}]|$)'
 #: A string of a list literal in either quote, with backslash escapes, or a bare member.
 _MEMBER = "[uUbB]?\"[^\"\\\\]*+(?:\\\\.[^\"\\\\]*+)*+\"|[uUbB]?'[^'\\\\]*+(?:\\\\.[^'\\\\]*+)*+'|[^,\\s][^,]*+"
 
@@ -24,19 +24,35 @@ def _strip(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\n\r\x0b\x0c\u00a0\u3000\ufeff"))
 
 
-def skeleton(text: Column) -> Column:
-    """First mark, last mark and the sorted set of marks of a text, its other characters masked out; null for null."""
+def _parting(blanks: bool) -> tuple[str, str]:
+    """The class of all delimiters of a field, and what may stand between a quote and a delimiter."""
+    return (_CLASS + _BLANK, "") if blanks else (_CLASS, f"[{_BLANK}&&[^{_CLASS}]]*+")
+
+
+def skeleton(text: Column, blanks: bool = False) -> Column:
+    """`[` for a list literal, else the sorted set of the delimiters outside of quotes, with `"` if the text has quotes; null for null.
+
+    With blanks, white space parts values; it is one delimiter, a space.
+    """
     t = _strip(text)
-    edge = lambda c: F.regexp_replace(c, f"[^{_MARKS}]", "x")
-    marks = F.array_sort(F.array_distinct(F.split(F.regexp_replace(t, f"[^{_MARKS}]+", ""), "")))
-    return F.concat(edge(F.substring(t, 1, 1)), edge(F.substring(t, -1, 1)), F.lit(":"), F.array_join(marks, ""))
+    inside, _ = _parting(blanks)
+    bare = F.regexp_replace(t, f"{_QUOTED.format(*_parting(blanks))}|[^{inside}]++", "")
+    bare = F.regexp_replace(bare, f"[{_BLANK}]++", " ") if blanks else bare
+    cuts = F.array_join(F.array_sort(F.array_distinct(F.split(bare, ""))), "")
+    return F.when(t.startswith("["), "[").otherwise(F.concat(cuts, F.when(F.contains(t, F.lit('"')), '"').otherwise("")))
 
 
-def splitting_rules(skeletons: DataFrame) -> DataFrame:
-    """skeleton, rule: `members` for a list literal, `fields` where delimiters or quotes occur, `whole` for one value."""
+def splitting_rules(skeletons: DataFrame, blanks: bool = False) -> DataFrame:
+    """skeleton, notation, pattern: `members` for a list literal, else `fields`; the pattern matches one value of the notation, blank ones too."""
     s = F.col("skeleton")
-    rule = F.when(s.startswith("["), "members").when(F.substring_index(s, ":", -1) != "", "fields").otherwise("whole")
-    return skeletons.select("skeleton", rule.alias("rule"))
+    cuts = F.replace(s, F.lit('"'), F.lit(""))
+    inside = F.replace(cuts, F.lit(" "), F.lit(_BLANK))
+    run = F.concat(F.lit("[^"), inside, F.lit("]++"))
+    head, tail = _QUOTED.format("\0", _parting(blanks)[1]).split("\0")
+    quoted = F.concat(F.lit(head), inside, F.lit(tail + "|"))
+    fields = F.when(cuts == "", "[\\s\\S]++").when(F.contains(s, F.lit('"')), F.concat(quoted, run)).otherwise(run)
+    listed = s == "["
+    return skeletons.select("skeleton", F.when(listed, "members").otherwise("fields").alias("notation"), F.when(listed, F.lit(_MEMBER)).otherwise(fields).alias("pattern"))
 
 
 def _unescaped(token: Column) -> Column:
@@ -53,22 +69,24 @@ def _unquoted(token: Column) -> Column:
     return F.when(t.rlike('^"[\\s\\S]*"$') & (F.length(t) > 1), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
 
 
-def unpack(df: DataFrame, record_id: str, packed: str, nothing: tuple[str, ...] = ()) -> DataFrame:
+def unpack(df: DataFrame, record_id: str, packed: str, nothing: tuple[str, ...] = (), blanks: bool = False) -> DataFrame:
     """record_id, pos, item: the values of the text column `packed`, in order, pos from 0.
 
     Null, blank and the whole texts in `nothing` hold no values; blank values give no row and take no position;
-    repeated values, repeated rows and rows with a null record id stay. Other columns of df are not read.
+    repeated values, repeated rows and rows with a null record id stay. blanks says that white space parts values too,
+    for fields whose values have none. Other columns of df are not read.
     """
     rows = df.select(F.col(record_id).alias("record_id"), _strip(F.col(packed)).alias("text"))
     rows = rows.where(F.col("text") != "")
     if nothing:
         rows = rows.where(~F.col("text").isin(*nothing))
-    rows = rows.withColumn("skeleton", skeleton(F.col("text")))
-    rules = splitting_rules(rows.select("skeleton").distinct())
+    rows = rows.withColumn("skeleton", skeleton(F.col("text"), blanks))
+    rules = splitting_rules(rows.select("skeleton").distinct(), blanks)
     ruled = rows.join(F.broadcast(rules), "skeleton")
-    body = F.regexp_replace(F.col("text"), "^\\[|\\]$", "")
-    members = F.transform(F.regexp_extract_all(body, F.lit(_MEMBER), F.lit(0)), lambda t: _strip(_unescaped(_strip(t))))
-    fields = F.transform(F.regexp_extract_all(F.col("text"), F.lit(_FIELD), F.lit(0)), lambda t: _strip(_unquoted(t)))
-    items = F.when(F.col("rule") == "members", members).when(F.col("rule") == "fields", fields).otherwise(F.array("text"))
-    kept = F.filter(items, lambda x: x != "")
+    listed = F.col("notation") == "members"
+    body = F.when(listed, F.regexp_replace(F.col("text"), "^\\[|\\]$", "")).otherwise(F.col("text"))
+    tokens = F.regexp_extract_all(body, F.col("pattern"), F.lit(0))
+    members = F.transform(tokens, lambda t: _strip(_unescaped(_strip(t))))
+    fields = F.transform(tokens, lambda t: _strip(_unquoted(t)))
+    kept = F.filter(F.when(listed, members).otherwise(fields), lambda x: x != "")
     return ruled.select("record_id", F.posexplode(kept).alias("pos", "item"))

@@ -26,7 +26,7 @@ def p1_key_averages(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     a = packed.unpack(load(spark, d, "business"), "business_id", "categories").select(F.lit("categories").alias("field_name"), "record_id", "pos", "item")
-    b = packed.unpack(load(spark, d, "yelp_user"), "user_id", "friends", nothing=("None",)).select(F.lit("friends").alias("field_name"), "record_id", "pos", "item")
+    b = packed.unpack(load(spark, d, "yelp_user"), "user_id", "friends", nothing=("None",), blanks=True).select(F.lit("friends").alias("field_name"), "record_id", "pos", "item")
     return a.unionByName(b)
 
 
@@ -45,13 +45,14 @@ _LATEST = """WITH r AS (SELECT review_id, user_id, business_id, stars FROM revie
   QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ingested_at DESC NULLS LAST, user_id DESC NULLS LAST, business_id DESC NULLS LAST, stars DESC NULLS LAST) = 1),
 k AS (SELECT 'business_id' AS field_name, business_id AS key_id, stars FROM r UNION ALL SELECT 'user_id', user_id, stars FROM r) """
 
+#: White space parts friends, whose values have none, and belongs to the values of categories.
 _FIELD = r"""'[\s\x{00a0}]*"[^"]*(?:""[^"]*)*"[\s\x{00a0}]*|[^,;|、，\n\r\t]+'"""
 _MEMBER = r"""'"[^"\\]*(?:\\.[^"\\]*)*"|''[^''\\]*(?:\\.[^''\\]*)*''|[^,\s][^,]*'"""
 _P5 = rf"""WITH t AS (
   SELECT 'categories' AS field_name, business_id AS record_id, regexp_replace(categories, '^\s+|\s+$', '', 'g') AS v FROM business
   UNION ALL SELECT 'friends', user_id, regexp_replace(friends, '^\s+|\s+$', '', 'g') FROM yelp_user),
 u AS (SELECT field_name, record_id, v[1] = '[' AS listed,
-        CASE WHEN v[1] = '[' THEN regexp_extract_all(regexp_replace(v, '^\[|\]$', '', 'g'), {_MEMBER}) ELSE regexp_extract_all(v, {_FIELD}) END AS raw
+        CASE WHEN v[1] = '[' THEN regexp_extract_all(regexp_replace(v, '^\[|\]$', '', 'g'), {_MEMBER}) WHEN field_name = 'friends' THEN regexp_extract_all(v, '"[^"]+"|[^\s",;|、，]+') ELSE regexp_extract_all(v, {_FIELD}) END AS raw
       FROM t WHERE v <> '' AND NOT (field_name = 'friends' AND v = 'None')),
 w AS (SELECT field_name, record_id, listed, unnest(raw) AS tok, generate_subscripts(raw, 1) AS i FROM u),
 x AS (SELECT field_name, record_id, i, listed, regexp_replace(tok, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g') AS tok FROM w),

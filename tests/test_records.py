@@ -89,6 +89,27 @@ def test_unpack_nothing_and_repeats(spark, rows):
     assert rows(packed.unpack(df, "id", "packed", nothing=("None",))) == sorted([("c", 0, "x"), ("c", 0, "x"), (None, 0, "y")], key=repr)
 
 
+BLANK_PARTED = [
+    ("a b  c", ["a", "b", "c"]), ("a, b c;d", ["a", "b", "c", "d"]), ('"a" "b"', ["a", "b"]), ('"a", "b c"|d', ["a", "b c", "d"]), ("a \n b\tc\u3000d", ["a", "b", "c", "d"]),
+    ("['a', 'b']", ["a", "b"]), ('"a""x" b', ['a"x', "b"]), (" ", []), ("None", []),
+]
+
+
+def test_unpack_blank_parted(spark):
+    df = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(BLANK_PARTED)], "id string, packed string")
+    got: dict = {}
+    for r in packed.unpack(df, "id", "packed", nothing=("None",), blanks=True).collect():
+        got.setdefault(r.record_id, {})[r.pos] = r["item"]
+    assert [[got.get(str(i), {})[k] for k in sorted(got.get(str(i), {}))] for i in range(len(BLANK_PARTED))] == [w for _, w in BLANK_PARTED]
+
+
+def test_rules_are_resolved_per_skeleton(spark):
+    df = spark.createDataFrame([("a, b",), ('"a; b", c',), ("['a']",), ("a",), ("a|b;c",)], "t string").select(packed.skeleton(F.col("t")).alias("skeleton"))
+    assert [r.skeleton for r in df.collect()] == [",", ',"', "[", "", ";|"]
+    rules = {r.skeleton: r.pattern for r in packed.splitting_rules(df).collect()}
+    assert rules[","] == "[^,]++" and rules[',"'].endswith("(?=[,]|$)|[^,]++") and rules[";|"] == "[^;|]++"
+
+
 NESTED = [
     ({"A": "True"}, ["A"]),
     ({"A": "None", "B": None}, []),
