@@ -1 +1 @@
-"""Data-mining analytics as lazy Spark DataFrame operators."""
+"""Analytics on Spark: operators from data frames to data frames, and the queries made of them."""
