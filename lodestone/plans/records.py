@@ -36,9 +36,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    """All rows of the flat tables, inlined columns as JSON text."""
+    """All rows of the flat tables, inlined columns as JSON text; flat_tables gives each table with columns of its own."""
     rows = nested.flatten(load(spark, d, "business").select("business_id", "attributes"), "business_id", "attributes")
-    return rows.withColumn("columns", F.to_json("columns")).withColumnRenamed("record_id", "business_id")
+    return rows.drop("twins").withColumn("columns", F.to_json("columns")).withColumnRenamed("record_id", "business_id")
 
 
 _LATEST = """WITH r AS (SELECT review_id, user_id, business_id, stars FROM review WHERE review_id IS NOT NULL
@@ -63,9 +63,39 @@ y AS (SELECT field_name, record_id, i, trim(CASE
         ELSE tok END) AS item FROM x)
 SELECT field_name, record_id, CAST(row_number() OVER (PARTITION BY field_name, record_id ORDER BY i) - 1 AS INTEGER) AS pos, item FROM y WHERE item <> ''"""
 
+_TOK = r"""'[uUbBrR]?"(?:[^"\\]|\\.)*"|[uUbBrR]?''(?:[^''\\]|\\.)*''|[\[\]{},:]|[^\s\[\]{},:"'']+|["'']'"""
+_SINGLE = r"""'"' || replace(replace(replace(regexp_replace(replace(regexp_replace(x, '^[uUbBrR]?''|''$', '', 'g'), '\\', chr(1)), '\\([^"/bfnrtu])', '\1', 'g'), '\"', '"'), '"', '\"'), chr(1), '\\') || '"'"""
+#: A text with every token in the notation of JSON; what is damaged stays no JSON.
+_LIT = f"""regexp_replace(array_to_string(list_transform(regexp_extract_all(@, {_TOK}), lambda x: CASE
+  WHEN x IN ('True', 'False') THEN lower(x) WHEN x = 'None' THEN 'null' WHEN regexp_matches(x, '^[uUbBrR]?''.*''$', 's') THEN {_SINGLE}
+  WHEN regexp_matches(x, '^[uUbBrR]".*"$', 's') THEN x[2:] WHEN regexp_matches(x, '^[A-Za-z]') AND x NOT IN ('true', 'false', 'null') THEN '?' ELSE x END), ' '), ', ([]}}])', ' \\1', 'g')"""
+
+
+def _sql_read(c: str) -> str:
+    """NULL for what is absent, JSON text for an object or array, '0' for a scalar."""
+    t = f"trim({c})"
+    lit = lambda x: _LIT.replace("@", x)
+    inner = f"trim(json_extract_string('[' || ({lit(t)}) || ']', '$[0]'))"
+    return f"""CASE WHEN {t} IN ('None', 'null') THEN NULL
+  WHEN {t}[1] IN ('{{', '[') THEN CASE WHEN json_valid({lit(t)}) THEN {lit(t)} ELSE '0' END
+  WHEN regexp_matches({t}, '^[uUbB]?(".*"|''.*'')$', 's') AND len({t}) > 2 AND json_valid({lit(t)}) THEN
+    CASE WHEN {inner} IN ('None', 'null') THEN NULL WHEN {inner}[1] IN ('{{', '[') AND json_valid({lit(inner)}) THEN {lit(inner)} ELSE '0' END
+  ELSE '0' END"""
+
+
+_P6 = f"""WITH RECURSIVE a AS (SELECT business_id, unnest(map_entries(attributes)) AS e FROM business),
+n(business_id, path, v) AS (SELECT business_id, e.key, {_sql_read("e.value")} FROM a WHERE e.value IS NOT NULL
+ UNION ALL SELECT business_id, path || s.step, CASE json_type(s.c) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN {_sql_read("(s.c ->> '$')")} ELSE CAST(s.c AS VARCHAR) END
+ FROM (SELECT business_id, path, unnest(CASE WHEN v[1] = '{{'
+     THEN list_transform(json_keys(v), lambda k: {{'step': '.' || k, 'c': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))}})
+     ELSE list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {{'step': '[' || i || ']', 'c': json_extract(v, '$[' || i || ']')}}) END) AS s
+   FROM n WHERE v[1] IN ('{{', '[')))
+SELECT DISTINCT business_id, path AS node_path FROM n WHERE v IS NOT NULL"""
+
 QUERIES = {"p1_found": p1_found, "p1_key_averages": p1_key_averages, "p5_found": p5_found, "p6_found": p6_found, "p6_tables": p6_tables}
 ORACLES = {
     "p1_found": _LATEST + "SELECT field_name, key_id FROM k WHERE key_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM r)",
     "p1_key_averages": _LATEST + "SELECT field_name, key_id, count(*) AS n_records, round(CAST(avg(stars) AS DOUBLE), 6) AS avg_value FROM k WHERE key_id IS NOT NULL GROUP BY 1, 2",
     "p5_found": _P5,
+    "p6_found": _P6,
 }

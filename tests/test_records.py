@@ -138,14 +138,28 @@ def test_flatten_paths(spark):
 
 def test_rows_link_to_their_parents(spark):
     hours = json.dumps([{"day": "mon", "slots": [{"open": 8}, {"open": 9}]}, {"day": "tue"}])
-    df = spark.createDataFrame([("r", {"Hours": hours, "Desk": json.dumps({"hours": [{"day": "sun"}]})})], "id string, attributes map<string,string>")
+    df = spark.createDataFrame([("r", {"Hours": hours, "Desk": json.dumps({"hours": [{"day": "sun"}]}), "A": "1", "B": "{'c': 2}"}), ("s", {"Hours": "[1]"}), ("t", {"A": "None"})], "id string, attributes map<string,string>")
     out = nested.flatten(df, "id", "attributes").collect()
-    keys = {(r.table_name, r.row_path) for r in out}
-    assert all((r.parent_table, r.parent_path) in keys or r.parent_table in (None, nested.ROOT) for r in out)
+    keys = [(r.record_id, r.table_name, r.row_path) for r in out]
+    assert len(set(keys)) == len(keys) == len({(k[0], k[2]) for k in keys})
+    assert all((r.record_id, r.parent_table, r.parent_path) in keys for r in out if r.table_name != nested.ROOT)
+    record = {r.record_id: r["columns"] for r in out if r.table_name == nested.ROOT}
+    assert record == {"r": {"A": "1", "B": None, "B.c": "2", "Hours": None, "Desk": None, "Desk.hours": None}, "s": {"Hours": None}}
     assert {r.row_path for r in out if r.table_name == "slots[]"} == {"Hours[0].slots[0]", "Hours[0].slots[1]"}
     assert {r.table_name for r in out} >= {nested.ROOT, "Hours[]", "slots[]", "day"}  # day is shared by two elements
-    slots = nested.table_of(nested.flatten(df, "id", "attributes"), "slots[]", ["open"]).collect()
-    assert sorted(r.open for r in slots) == ["8", "9"]
+    tables = nested.flat_tables(df, "id", "attributes")
+    assert sorted(r.open for r in tables["slots[]"].collect()) == ["8", "9"]
+    assert {(r.record_id, r["B.c"], r.A) for r in tables[nested.ROOT].select("record_id", "`B.c`", "A").collect()} == {("r", "2", "1"), ("s", None, None)}
+    assert [r.value for r in tables["Hours[]"].collect() if r.record_id == "s"] == ["1"]
+
+
+def test_names_with_dots_lose_nothing(spark, rows):
+    text = json.dumps({"a.b": 1, "a": {"b": 2}, "c[0]": 3, "c": [4], "@record": {"x\\": 5}, "": 6})
+    df = spark.createDataFrame([("r", {"A": text, "A.a": "7"})], "id string, attributes map<string,string>")
+    out = nested.flatten(df, "id", "attributes")
+    values = [v for r in out.collect() for v in r["columns"].values() if v is not None]
+    assert sorted(values) == ["1", "2", "3", "4", "5", "6", "7"]
+    assert rows(nested.node_paths(out)) == sorted([("r", p) for p in ("A", "A.a.b", "A.a", "A.c[0]", "A.c", "A.@record", "A.@record.x\\", "A.")])
 
 
 def test_recursive_elements_get_a_table():
