@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,20 +22,35 @@ def brute_pairs(data, support, lift):
     return {(a, b): k for (a, b), k in both.items() if k >= support and k * n >= lift * single[a] * single[b]}
 
 
-@pytest.mark.parametrize(("large", "cells"), [(400, 300_000), (6, 10), (2, 1)])
-def test_pairs_equal_brute_force(spark, large, cells):
+@pytest.mark.parametrize(("large", "cells", "bucket_items"), [(1_000, 2_000_000, 100_000), (6, 10, 7), (2, 1, 3)])
+def test_pairs_equal_brute_force(spark, large, cells, bucket_items):
     rng = random.Random(5)
     items = [f"i{k:02d}" for k in range(40)]
     data = [(f"g{k}", rng.choice(items[:8] if k % 3 else items)) for k in range(60) for _ in range(rng.randrange(1, 7))]
     data += [(f"t{k}", x) for k in range(9) for x in ("p", "q", *items[:7])] + [("huge", x) for x in [*items, "p"]] + [("g1", "i01")] * 50
     data += [(None, "p"), ("g1", None), ("", "p"), (" ", "q"), ("g1", " ")]
     df = spark.createDataFrame([(g, i, 1, "clash") for g, i in data], "user_id string, business_id string, n12 int, item_1 string")
-    got = {(r.item_1, r.item_2): r for r in cooccurrence.cooccurrences(df, "user_id", "business_id", 7, 4.0, large, cells).collect()}
+    got = {(r.item_1, r.item_2): r for r in cooccurrence.cooccurrences(df, "user_id", "business_id", 7, 4.0, large=large, cells=cells, bucket_items=bucket_items).collect()}
     want = brute_pairs(data, 7, 4.0)
     assert {k: r.n12 for k, r in got.items()} == want and ("p", "q") in want
     assert all(r.llr > 3.84 and r.lift >= 4 for r in got.values())
 
 
+def test_stripes_merge_over_batches():
+    def stripes(keys):
+        lists = [pa.array([[2 + b, 4 + b] for _, b in keys], pa.list_(pa.int32())), pa.array([[3, 4]] * len(keys), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int32()), *lists], names=["item", "bucket", "neighbours", "counts"])
+
+    keys = [(0, 0), (0, 0), (0, 0), (0, 1), (5, 0), (5, 0), (6, 0)]
+    for cut in ([7], [1, 1, 1, 1, 1, 1, 1], [3, 4], [4, 0, 2, 1]):
+        at, parts = 0, []
+        for c in cut:
+            parts.append(stripes(keys[at : at + c]))
+            at += c
+        got = {(a, b): k for x in cooccurrence._merged(10, 0)(iter(parts)) for a, b, k in zip(*x.to_pydict().values())}
+        assert got == {(0, 2): 9, (0, 4): 12, (0, 3): 3, (0, 5): 4, (5, 2): 6, (5, 4): 8, (6, 2): 3, (6, 4): 4}
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "user_id string, business_id string")
     assert cooccurrence.cooccurrences(df, "user_id", "business_id", 7, 4.0).count() == 0
