@@ -1,11 +1,13 @@
 """Problem 7: all pairs of set-valued records whose sets overlap above a Jaccard threshold.
 
-Exact copies of a set are one class. A class gets a binary sketch of one-bit minhashes: a code of `segments` segments of
-`width` bits, and 256 bits more for the Hamming test. Classes join on equal segments, segment by segment, as packed
-arrays of (segment value, set size, class, half of the Hamming bits), cut into parts by the value's bits so that a part stays bounded however
-many sets there are. For two sets at the threshold a segment agrees with probability ((1 + t) / 2) ** width; the number
-of segments is set so that the chance of missing in all is at most `miss`. Candidates within a Hamming radius four
-standard deviations above the mean at the threshold are verified on the sets themselves.
+Exact copies of a set are one class. A class gets a code of one-bit minhashes, cut into segments of `width` bits. Two
+sets at the threshold differ in a bit with probability (1 - t) / 2, so by the pigeonhole principle some segment differs
+in few bits; classes join on segments that differ in at most two: each side tries its value and all values one bit off,
+and equal ones meet. The number of segments is calibrated so that the chance of meeting in none is at most `miss`.
+Pairs that meet are tested on the code's first 256 bits against a Hamming radius four standard deviations above the
+mean at the threshold, and what is left is verified on the sets themselves. Codes travel in packed arrays, a few
+segments together; beyond `part_sets` classes a segment is cut by its value's high bits, so that a task's share stays
+bounded however many sets there are.
 """
 
 from __future__ import annotations
@@ -18,17 +20,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import spread, stage
+from lodestone.functions.shuffle import salted_join, spread, stage
+from lodestone.operators.sketches import numbered
 
 CHECK_BITS = 256
 _SLICE = 1_000
+_GROUP = 4
 
 
 def plan_index(n_sets: int, threshold: float, miss: float) -> tuple[int, int]:
-    """(width, segments): wider for more sets, so that chance collisions stay few."""
-    width = min(16, max(6, round(math.log2(max(2, n_sets))) - 1))
-    agree = ((1 + threshold) / 2) ** width
-    return width, math.ceil(math.log(miss) / math.log(1 - agree))
+    """(width, segments): width grows with the number of sets up to 32 bits, so that chance meetings stay few."""
+    width = min(32, max(8, round(math.log2(max(2, n_sets))) + 3))
+    p = (1 + threshold) / 2
+    near = sum(math.comb(width, k) * (1 - p) ** k * p ** (width - k) for k in range(3))
+    return width, (1 if near >= 1 else math.ceil(math.log(miss) / math.log(1 - near)))
 
 
 def hamming_radius(threshold: float, bits: int = CHECK_BITS, deviations: float = 4.0) -> int:
@@ -65,27 +70,36 @@ def minima(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def codes(mins: np.ndarray, width: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment values, one row a set, and the four 64-bit words of the Hamming test."""
-    bits = ((mins >> np.uint32(9)) & np.uint32(1)).astype(np.uint8)
-    body = bits[:, : width * segments].reshape(len(mins), segments, width)
-    values = (body.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=2).astype(np.uint16)
-    words = np.packbits(bits[:, width * segments :], axis=1).view(np.int64)
-    return values, words
+def code_bits(mins: np.ndarray) -> np.ndarray:
+    """One bit of each minhash."""
+    return ((mins >> np.uint32(9)) & np.uint32(1)).astype(np.uint8)
 
 
-def _sketches(width: int, segments: int, merge: bool):
-    k = width * segments + CHECK_BITS
+def segment_values(bits: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """The segments of codes as numbers, one row a set."""
+    body = bits[:, : width * segments].reshape(len(bits), segments, width)
+    return (body.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=2).astype(np.uint32)
 
-    def coded(ids, sizes, mins: np.ndarray) -> pd.DataFrame:
-        values, words = codes(mins, width, segments)
-        return pd.DataFrame({"cid": ids, "n": sizes, "segs": [v.tobytes() for v in values], **{f"w{j}": words[:, j] for j in range(4)}})
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_CODED = "cid long, n long, code binary"
+
+
+def _coded(ids, sizes, mins: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"cid": ids, "n": sizes, "code": [c.tobytes() for c in np.packbits(code_bits(mins), axis=1)]})
+
+
+def _whole(k: int):
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
                 c = b.iloc[at : at + 500]
-                yield coded(c["cid"].to_numpy(), c["n"].to_numpy(), minima([np.asarray(s) for s in c["hashes"]], k))
+                yield _coded(c["cid"].to_numpy(), c["n"].to_numpy(), minima([np.asarray(s) for s in c["hashes"]], k))
+
+    return code
+
+
+def _pieces(k: int):
+    """The minhashes of pieces of large sets, and of the sets from these."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -96,101 +110,138 @@ def _sketches(width: int, segments: int, merge: bool):
         low = np.full(k, 0xFFFFFFFF, dtype=np.uint32)
         for m in b["mins"]:
             low = np.minimum(low, np.frombuffer(m, dtype=np.uint32))
-        return coded(b["cid"].iloc[:1].to_numpy(), b["n"].iloc[:1].to_numpy(), low[None, :])
+        return _coded(b["cid"].iloc[:1].to_numpy(), b["n"].iloc[:1].to_numpy(), low[None, :])
 
-    return whole if not merge else (partial, merged)
+    return partial, merged
 
 
-_CODED = "cid long, n long, segs binary, w0 long, w1 long, w2 long, w3 long"
+_PACKED = "seg int, part long, segs int, values binary, sizes binary, ids binary, words binary"
 
 
-_PACKED = "seg int, part int, values binary, sizes binary, ids binary, words binary"
+def _packed_segments(width: int, segments: int, k: int, part_bits: int):
+    """Per batch of sets, group of segments and part: the values, sizes, classes and words of the Hamming test as bytes.
 
-
-def _packed_segments(parts: int):
-    """Per batch of sets, segment and part: the values, sizes, classes and first half of the Hamming words as bytes."""
+    A part is a value's highest part_bits bits; a set is in its own part and in those one bit off.
+    """
+    group = 1 if part_bits else _GROUP
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for start in range(0, len(b), 3_000):
-                c = b.iloc[start : start + 3_000]
-                values = np.stack([np.frombuffer(s, dtype=np.uint16) for s in c["segs"]])
-                n, ids, words = np.minimum(c["n"].to_numpy(), 2**32 - 1).astype(np.uint32), c["cid"].to_numpy().astype(np.int64), c[["w0", "w1"]].to_numpy().astype(np.int64)
+            for start in range(0, len(b), 5_000):
+                c = b.iloc[start : start + 5_000]
+                codes = np.stack([np.frombuffer(x, dtype=np.uint8) for x in c["code"]])
+                values = segment_values(np.unpackbits(codes, axis=1)[:, :k], width, segments)
+                words, n, ids = np.ascontiguousarray(codes[:, : CHECK_BITS // 8]), np.minimum(c["n"].to_numpy(), 2**32 - 1).astype(np.uint32), c["cid"].to_numpy().astype(np.int64)
                 rows = []
-                for seg in range(values.shape[1]):
-                    v = values[:, seg]
-                    for p in range(parts):
-                        at = np.flatnonzero(v % parts == p) if parts > 1 else slice(None)
-                        rows.append((seg, p, v[at].tobytes(), n[at].tobytes(), ids[at].tobytes(), words[at].tobytes()))
-                yield pd.DataFrame(rows, columns=["seg", "part", "values", "sizes", "ids", "words"])
+                for seg in range(0, segments, group):
+                    v = values[:, seg : seg + group]
+                    own = v[:, 0] >> np.uint32(width - part_bits) if part_bits else np.zeros(len(v), np.uint32)
+                    for p in np.unique(np.concatenate([own, *(own ^ np.uint32(1 << i) for i in range(part_bits))])):
+                        at = np.flatnonzero(np.bitwise_count(own ^ p) <= 1)
+                        rows.append((seg, int(p), v.shape[1], np.ascontiguousarray(v[at]).tobytes(), n[at].tobytes(), ids[at].tobytes(), words[at].tobytes()))
+                yield pd.DataFrame(rows, columns=["seg", "part", "segs", "values", "sizes", "ids", "words"])
 
     return pack
 
 
-def _collide(threshold: float):
-    """The pairs of classes with equal values in one part of a segment whose sizes and half of whose bits allow the threshold."""
-    radius = hamming_radius(threshold, CHECK_BITS // 2)
+def near_values(v: np.ndarray, width: int, part: int, part_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place in v) of each value of v and those one bit off, within the part."""
+    high = width - part_bits
+    own = (v >> np.uint32(high)) if part_bits else np.zeros(len(v), np.uint32)
+    here = np.flatnonzero(own == part)
+    off = np.flatnonzero(own != part)  # one bit off in the part already
+    moved = (v[off] & np.uint32((1 << high) - 1)) | np.uint32(part << high if part_bits else 0)
+    tries = [v[here], *(v[here] ^ np.uint32(1 << i) for i in range(high)), moved]
+    return np.concatenate(tries), np.concatenate([np.tile(here, high + 1), off])
+
+
+def _collide(threshold: float, width: int, part_bits: int):
+    """The pairs of classes that meet in a segment and whose sizes and bits allow the threshold."""
+    half, full = hamming_radius(threshold, CHECK_BITS // 2), hamming_radius(threshold)
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(b["values"]), dtype=np.uint16)
+        segs, part = int(b["segs"].iloc[0]), int(b["part"].iloc[0])
+        every = np.frombuffer(b"".join(b["values"]), dtype=np.uint32).reshape(-1, segs)
         n, ids = np.frombuffer(b"".join(b["sizes"]), dtype=np.uint32), np.frombuffer(b"".join(b["ids"]), dtype=np.int64)
-        words = np.frombuffer(b"".join(b["words"]), dtype=np.uint64).reshape(-1, 2)
-        order = np.lexsort((n, v))
-        v, n, ids, words = v[order], n[order], ids[order], words[order]
-        left, right = [ids[:0]], [ids[:0]]
-        # Sorted by size within a value, the partners of a set are the next ones up to the largest size it allows.
-        some, step = np.arange(len(v) - 1), 1
-        while len(some := some[some < len(v) - step]):
-            some = some[(v[some] == v[some + step]) & (n[some] >= threshold * n[some + step])]
-            near = some[np.bitwise_count(words[some] ^ words[some + step]).sum(axis=1) <= radius]
-            left.append(ids[near])
-            right.append(ids[near + step])
-            step += 1
-        x, y = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"c1": np.minimum(x, y), "c2": np.maximum(x, y)}).drop_duplicates()
+        words = np.frombuffer(b"".join(b["words"]), dtype=np.uint64).reshape(len(n), -1)
+        order = np.argsort(ids)  # classes are numbered by size
+        every, n, ids, words = every[order], n[order], ids[order], words[order]
+        first, rest = np.ascontiguousarray(words[:, :2]), np.ascontiguousarray(words[:, 2:])
+        found = np.zeros(0, np.int64)
+        for s in range(segs):
+            value, at = near_values(np.ascontiguousarray(every[:, s]), width, part, part_bits)
+            key = np.sort((value.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64))
+            v, r = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            # Sorted by size within a value, the partners of a set are the next ones up to the largest size it allows.
+            most = np.floor(n / threshold)
+            some, step, met = np.flatnonzero(v[:-1] == v[1:]), 1, []
+            while len(some):
+                i, j = r[some], r[some + step]
+                fits = n[j] <= most[i]
+                some, i, j = some[fits], i[fits], j[fits]
+                near = np.flatnonzero(np.bitwise_count(first[i] ^ first[j]).sum(axis=1, dtype=np.uint16) <= half)
+                i, j = i[near], j[near]
+                met.append((i * len(n) + j)[i != j])
+                step += 1
+                some = some[some < len(v) - step]
+                some = some[v[some] == v[some + step]]
+            found = np.unique(np.concatenate([found, *met]))
+        i, j = found // max(1, len(n)), found % max(1, len(n))
+        apart = np.bitwise_count(first[i] ^ first[j]).sum(axis=1, dtype=np.uint16) + np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.uint16)
+        i, j = i[apart <= full], j[apart <= full]
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": n[i].astype(np.int64), "n_b": n[j].astype(np.int64)})
 
     return pairs
 
 
-def similar_sets(df: DataFrame, record: str, element: str, threshold: float, miss: float = 0.0002, chunk: int = 200_000) -> DataFrame:
-    """record_1 < record_2 (by bytes) and jaccard, for all pairs of records whose sets of distinct elements reach the threshold.
+def similar_classes(df: DataFrame, record: str, element: str, threshold: float, miss: float = 0.00002, chunk: int = 200_000, part_sets: int = 400_000) -> tuple[DataFrame, DataFrame]:
+    """(members, links): r, class_id of every record with a set, and class_1 < class_2, jaccard of all classes that reach the threshold.
 
-    Rows with a null record or element are ignored and repeated rows count once; empty tables and single records give
-    no rows. Recall at the threshold is 1 - miss and higher above it; every row given is verified. Sets count as
-    copies by a 64-bit hash of their size and two 64-bit hashes of their elements.
+    Records of one class have equal sets, so their pairs have similarity 1 and are not spelled out. Rows with a null
+    record or element are ignored and repeated rows count once. Recall at the threshold is 1 - miss and higher above
+    it; every link given is verified on the elements. Two sets are one class if their sizes and two 64-bit hashes are
+    equal.
     """
     rows = stage(df.select(F.col(record).cast("string").alias("r"), F.col(element).cast("string").alias("e")).dropna().distinct())
-    h = F.xxhash64("e")
     mixed = lambda seed: F.bit_xor(F.xxhash64("e", F.lit(seed))).alias(f"f{seed}")
-    sets = rows.groupBy("r").agg(F.count("*").alias("n"), mixed(1), mixed(2))
-    classes = sets.withColumn("cid", F.xxhash64("n", "f1", "f2", F.lit(3)))
-    members = stage(classes.select("r", "n", "cid", "f1", "f2"))
-    reps = members.groupBy("cid", "n", "f1", "f2").agg(F.min("r").alias("r")).select("r", "n", "cid")
-    width, segments = plan_index(members.count(), threshold, miss)
-    elements = rows.join(reps, "r").select("cid", "n", h.alias("x"))
-    pieces = F.ceil(F.col("n") / chunk)
-    gathered = spread(elements.withColumn("piece", F.pmod("x", pieces)), "cid", "n", "piece").groupBy("cid", "n", "piece").agg(F.collect_list("x").alias("hashes"))
-    whole = gathered.where(F.col("n") <= chunk).select("cid", "n", "hashes").mapInPandas(_sketches(width, segments, False), _CODED)
-    partial, merged = _sketches(width, segments, True)
-    split = gathered.where(F.col("n") > chunk).select("cid", "n", "hashes").mapInPandas(partial, "cid long, n long, mins binary")
-    coded = stage(whole.unionByName(split.groupBy("cid").applyInPandas(merged, _CODED)))
-    parts = max(1, math.ceil(coded.count() / 400_000))
-    packed = coded.select("cid", "n", "segs", "w0", "w1").mapInPandas(_packed_segments(parts), _PACKED)
-    hits = spread(packed, "seg", "part").groupBy("seg", "part").applyInPandas(_collide(threshold), "c1 long, c2 long").distinct()
-    word = lambda k: coded.select(F.col("cid").alias(f"c{k}"), F.col("n").alias(f"n{k}"), *[F.col(f"w{j}").alias(f"w{k}{j}") for j in range(4)])
-    apart = sum((F.bit_count(F.col(f"w1{j}").bitwiseXOR(F.col(f"w2{j}"))) for j in range(4)), F.lit(0))
-    close = stage(hits.join(word(1), "c1").join(word(2), "c2").where(apart <= hamming_radius(threshold)).select("c1", "c2", "n1", "n2"))
+    sets = stage(rows.groupBy("r").agg(F.count("*").alias("n"), mixed(1), mixed(2)))
+    classes = numbered(sets.groupBy("n", "f1", "f2").agg(F.min("r").alias("rep")), "n", "f1", "f2").withColumnRenamed("seq", "cid")
+    classes = stage(classes.select("cid", "n", "f1", "f2", "rep"))
+    n_classes = classes.count()
+    width, segments = plan_index(n_classes, threshold, miss)
+    k = max(CHECK_BITS, width * segments)
+    part_bits = max(0, math.ceil(math.log2(max(1, n_classes / part_sets))))
+    reps = classes.select("cid", "n", F.col("rep").alias("r"))
+    elements = rows.join(reps, "r").select("cid", "n", F.xxhash64("e").alias("x"))
+    gathered = elements.withColumn("piece", F.pmod("x", F.ceil(F.col("n") / chunk))).groupBy("cid", "n", "piece").agg(F.collect_list("x").alias("hashes"))
+    gathered = gathered.select("cid", "n", "hashes")
+    pack, whole = _packed_segments(width, segments, k, part_bits), _whole(k)
+    packed = spread(gathered.where(F.col("n") <= chunk), "cid").mapInPandas(lambda batches: pack(whole(batches)), _PACKED)
+    if classes.where(F.col("n") > chunk).limit(1).count():
+        partial, merged = _pieces(k)
+        split = gathered.where(F.col("n") > chunk).mapInPandas(partial, "cid long, n long, mins binary")
+        packed = packed.unionByName(split.groupBy("cid").applyInPandas(merged, _CODED).mapInPandas(pack, _PACKED))
+    hits = spread(packed, "seg", "part").groupBy("seg", "part").applyInPandas(_collide(threshold, width, part_bits), "a long, b long, n_a long, n_b long")
+    close = stage(hits.distinct())  # a is the smaller set
     # The smaller set's elements are looked up in the larger set.
-    first = F.col("n1") <= F.col("n2")
-    probe = close.select("c1", "c2", "n1", "n2", F.when(first, F.col("c1")).otherwise(F.col("c2")).alias("a"), F.when(first, F.col("c2")).otherwise(F.col("c1")).alias("b"))
-    wanted = close.select(F.explode(F.array("c1", "c2")).alias("cid")).distinct()
+    wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     held = rows.join(reps.join(wanted, "cid", "left_semi").select("r", "cid"), "r").select("cid", "e")
-    shared = probe.join(held.withColumnRenamed("cid", "a"), "a").join(held.withColumnRenamed("cid", "b"), ["b", "e"]).groupBy("c1", "c2", "n1", "n2").agg(F.count("*").alias("both"))
-    jaccard = F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))
-    between = shared.select("c1", "c2", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
-    m = lambda k: members.select(F.col("cid").alias(f"c{k}"), F.col("r").alias(f"r{k}"))
-    across = between.join(m(1), "c1").join(m(2), "c2").select("r1", "r2", "jaccard")
-    alike = members.groupBy("cid").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("cid")
-    copied = members.join(alike, "cid", "left_semi").select("cid", "r")
-    within = copied.select("cid", F.col("r").alias("r1")).join(copied.select("cid", F.col("r").alias("r2")), "cid").where(F.col("r1") < F.col("r2")).select("r1", "r2", F.lit(1.0).alias("jaccard"))
+    shared = close.join(held.withColumnRenamed("cid", "a"), "a").join(held.withColumnRenamed("cid", "b"), ["b", "e"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    links = shared.select(F.least("a", "b").alias("class_1"), F.greatest("a", "b").alias("class_2"), (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
+    members = salted_join(sets, classes.select("n", "f1", "f2", F.col("cid").alias("class_id")), ["n", "f1", "f2"]).select("r", "class_id")
+    return stage(members), links.where(F.col("jaccard") >= threshold)
+
+
+def similar_sets(df: DataFrame, record: str, element: str, threshold: float, **sizes: float) -> DataFrame:
+    """record_1 < record_2 (by bytes) and jaccard, for all pairs of records whose sets of distinct elements reach the threshold.
+
+    The links of similar_classes spelled out for all members; with many copies of a set that is as many pairs, and
+    similar_classes the form to use. Empty tables and single records give no rows.
+    """
+    members, links = similar_classes(df, record, element, threshold, **sizes)
+    m = lambda k: members.select(F.col("class_id").alias(f"class_{k}"), F.col("r").alias(f"r{k}"))
+    across = links.join(m(1), "class_1").join(m(2), "class_2").select("r1", "r2", "jaccard")
+    alike = members.groupBy("class_id").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("class_id")
+    copied = members.join(alike, "class_id", "left_semi")
+    within = copied.select("class_id", F.col("r").alias("r1")).join(copied.select("class_id", F.col("r").alias("r2")), "class_id").where(F.col("r1") < F.col("r2")).select("r1", "r2", F.lit(1.0).alias("jaccard"))
     return across.unionByName(within).select(F.least("r1", "r2").alias("record_1"), F.greatest("r1", "r2").alias("record_2"), "jaccard")

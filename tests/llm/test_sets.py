@@ -70,29 +70,54 @@ def sets_of(rng):
     return {k: v for k, v in out.items() if v}
 
 
-@pytest.mark.parametrize("chunk", [200_000, 500])
-def test_similar_sets_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "part_sets"), [(200_000, 400_000), (500, 16)])
+def test_similar_sets_equal_brute_force(spark, chunk, part_sets):
     sets = sets_of(random.Random(6))
     data = [(b, u, 1, "clash") for b, s in sets.items() for u in s] * 2 + [(None, "u1", 1, None), ("b000", None, 1, None)]
     df = spark.createDataFrame(data, "business_id string, user_id string, n int, cid string")
-    got = {(r.record_1, r.record_2): r.jaccard for r in similarsets.similar_sets(df, "business_id", "user_id", 0.5, chunk=chunk).collect()}
+    got = {(r.record_1, r.record_2): r.jaccard for r in similarsets.similar_sets(df, "business_id", "user_id", 0.5, chunk=chunk, part_sets=part_sets).collect()}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
     want = {k: j for k, j in want.items() if j >= 0.5}
     assert got == pytest.approx(want) and len(want) > 30
     assert similarsets.similar_sets(df.limit(0), "business_id", "user_id", 0.5).count() == 0
 
 
+def test_classes_hold_copies_and_links_no_pair_twice(spark):
+    data = [(f"a{k}", u) for k in range(5) for u in "pqr"] + [("b", u) for u in "pqrs"] + [("c", "z"), ("d", None)]
+    members, links = similarsets.similar_classes(spark.createDataFrame(data, "b string, u string"), "b", "u", 0.5)
+    of = {r.r: r.class_id for r in members.collect()}
+    assert len(of) == 7 and len({of[f"a{k}"] for k in range(5)}) == 1
+    assert [(r.class_1, r.class_2, r.jaccard) for r in links.collect()] == [(min(of["a0"], of["b"]), max(of["a0"], of["b"]), 0.75)]
+
+
 def test_sketch_bits_agree_as_often_as_they_should():
     rng = np.random.default_rng(1)
     a, b = rng.integers(-(2**62), 2**62, 30), rng.integers(-(2**62), 2**62, 15)
     m = similarsets.minima([np.r_[a, b], np.r_[a, rng.integers(-(2**62), 2**62, 15)]], 4_000)  # Jaccard 0.5
-    bits = (m >> np.uint32(9)) & np.uint32(1)
+    bits = similarsets.code_bits(m)
     assert abs((bits[0] == bits[1]).mean() - 0.75) < 0.04 and abs((m[0] == m[1]).mean() - 0.5) < 0.04
 
 
 def test_index_plan():
     width, segments = similarsets.plan_index(35_000, 0.5, 0.002)
-    assert (1 - 0.75**width) ** segments <= 0.002 and 12 <= width <= 16
+    near = 0.75**width + width * 0.25 * 0.75 ** (width - 1) + width * (width - 1) / 2 * 0.25**2 * 0.75 ** (width - 2)
+    assert (1 - near) ** segments <= 0.002 < (1 - near) ** (segments - 1)
+    assert [similarsets.plan_index(n, 0.5, 0.002)[0] for n in (2, 10**6, 10**8, 10**12)] == [8, 23, 30, 32]
+
+
+@pytest.mark.parametrize("part_bits", [0, 2])
+def test_values_two_bits_off_meet(part_bits):
+    rng, width = np.random.default_rng(3), 10
+    v = rng.integers(0, 2**width, 60).astype(np.uint32)
+    met = set()
+    for part in range(2**part_bits):
+        held = np.flatnonzero(np.bitwise_count((v >> np.uint32(width - part_bits)) ^ np.uint32(part)) <= 1) if part_bits else np.arange(60)
+        value, at = similarsets.near_values(v[held], width, part, part_bits)
+        by: dict = {}
+        for x, i in zip(value, held[at]):
+            by.setdefault(int(x), set()).add(int(i))
+        met |= {p for s in by.values() for p in combinations(sorted(s), 2)}
+    assert met == {(i, j) for i, j in combinations(range(60), 2) if int(v[i] ^ v[j]).bit_count() <= 2}
 
 
 def brute_fullest(counts, space):
