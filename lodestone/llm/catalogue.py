@@ -23,6 +23,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.split_overlaps(load(spark, d, "yelp_train"), evals), evals)
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation records that overlap and how much of their ids is covered."""
+    pairs = overlap.split_overlaps(load(spark, d, "yelp_train"), _splits(spark, d))
+    return overlap.record_coverage(pairs).withColumn("coverage", F.round("coverage", 6))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.cooccurrences(load(spark, d, "ub_sample_data"), "user_id", "business_id", support=7, lift=4.0)
 
@@ -81,6 +87,10 @@ e AS (SELECT split_name, rating_id, rating_source, {_NORM.format("user_id")} AS
 mu AS (SELECT a.u AS eu, c.u AS tu, damerau_levenshtein(a.u, c.u) AS s FROM (SELECT DISTINCT u FROM e) a JOIN (SELECT DISTINCT u FROM t) c ON abs(length(a.u) - length(c.u)) <= 2 AND damerau_levenshtein(a.u, c.u) <= 2),
 mb AS (SELECT a.b AS eb, c.b AS tb, damerau_levenshtein(a.b, c.b) AS s FROM (SELECT DISTINCT b FROM e) a JOIN (SELECT DISTINCT b FROM t) c ON abs(length(a.b) - length(c.b)) <= 2 AND damerau_levenshtein(a.b, c.b) <= 2),
 p AS (SELECT e.split_name, e.rating_id AS eval_rating_id, t.rating_id AS train_rating_id, mu.s + mb.s AS slips FROM e JOIN mu ON e.u = mu.eu JOIN mb ON e.b = mb.eb JOIN t ON t.u = mu.tu AND t.b = mb.tb) """
+_CUT = "[{{{{'at': 0, 'n': length({e}) // 3}}}}, {{{{'at': length({e}) // 3 + 1, 'n': (length({e}) - 1 - length({e}) // 3) // 2 - 1}}}}, {{{{'at': length({e}) // 3 + (length({e}) - 1 - length({e}) // 3) // 2 + 1, 'n': length({e}) - length({e}) // 3 - (length({e}) - 1 - length({e}) // 3) // 2 - 1}}}}]"
+_CUT = _CUT.replace("{{", "{").replace("}}", "}")
+#: The share of an id's characters in pieces that the other id has, at most two places off.
+_COVERED = "list_sum(list_transform(" + _CUT + ", lambda x: CASE WHEN x.n > 0 AND len(list_filter([-2, -1, 0, 1, 2], lambda k: x.at + k >= 0 AND substr({t}, x.at + k + 1, x.n) = substr({e}, x.at + 1, x.n))) > 0 THEN x.n ELSE 0 END)) / CAST(length({e}) AS DOUBLE)"
 _P3 = """WITH d AS (SELECT DISTINCT user_id AS g, business_id AS i FROM ub_sample_data WHERE trim(user_id) <> '' AND trim(business_id) <> ''),
 n AS (SELECT CAST(count(DISTINCT g) AS DOUBLE) AS n FROM d), c AS (SELECT i, count(*) AS k FROM d GROUP BY i),
 p AS (SELECT a.i AS item_1, b.i AS item_2, count(*) AS n12 FROM d a JOIN d b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 7),
@@ -122,7 +132,7 @@ SELECT doc_id, length(text) AS n_chars, CAST(n_words AS BIGINT) AS n_words,
   CASE WHEN n_words > 0 THEN round(CAST(common AS DOUBLE) / n_words, 6) END AS common_share FROM m"""
 
 QUERIES = {
-    "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_cooccurrence": p3_cooccurrence, "p4_found": p4_found, "p4_unmatched": p4_unmatched,
+    "p2_found": p2_found, "p2_report": p2_report, "p2_records": p2_records, "p3_found": p3_found, "p3_cooccurrence": p3_cooccurrence, "p4_found": p4_found, "p4_unmatched": p4_unmatched,
     "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 ORACLES = {
@@ -130,6 +140,10 @@ ORACLES = {
     "p2_report": _P2 + """, g AS (SELECT split_name, eval_rating_id, count(*) AS k, min(slips) AS s FROM p GROUP BY 1, 2)
 SELECT e.split_name, rating_source, count(*) AS n_records, count(k) AS n_overlapping, count(*) FILTER (WHERE s = 0) AS n_without_slips, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_pairs
 FROM e LEFT JOIN g ON e.split_name = g.split_name AND e.rating_id = g.eval_rating_id GROUP BY 1, 2""",
+    "p2_records": _P2
+    + f""", cu AS (SELECT eu, tu, {_COVERED.format(e="eu", t="tu")} AS c FROM mu), cb AS (SELECT eb, tb, {_COVERED.format(e="eb", t="tb")} AS c FROM mb)
+SELECT p.split_name, p.eval_rating_id, count(*) AS n_train, min(p.slips) AS slips, round(max((cu.c + cb.c) / 2), 6) AS coverage
+FROM p JOIN e ON e.split_name = p.split_name AND e.rating_id = p.eval_rating_id JOIN t ON t.rating_id = p.train_rating_id JOIN cu ON cu.eu = e.u AND cu.tu = t.u JOIN cb ON cb.eb = e.b AND cb.tb = t.b GROUP BY 1, 2""",
     "p3_found": _P3 + "SELECT item_1 AS business_id_1, item_2 AS business_id_2 FROM q",
     "p3_cooccurrence": _P3 + f"SELECT item_1, item_2, n12, n1, n2, CAST(n AS BIGINT) AS n_baskets, round(n12 * n / (CAST(n1 AS DOUBLE) * n2), 6) AS lift, round({_LLR}, 4) AS llr FROM q",
     "p4_found": _P4 + "SELECT business_id, city_id FROM z",
