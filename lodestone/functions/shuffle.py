@@ -51,14 +51,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if_small(staged: DataFrame, most_bytes: int = 32_000_000) -> DataFrame:
-    """A staged table, marked for broadcast if its rows come to no more than most_bytes; else as it is.
-
-    Every row counts 32 bytes besides its text columns' own lengths.
-    """
+def is_small(staged: DataFrame, most_bytes: int = 32_000_000) -> bool:
+    """Whether a staged table's rows come to no more than most_bytes, at 32 bytes a row besides 8 a column and the texts' own lengths."""
     texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in staged.dtypes if kind == "string"]
     size = staged.agg(F.sum(sum(texts, F.lit(32 + 8 * len(staged.columns)))).alias("n")).first()["n"] or 0
-    return F.broadcast(staged) if size <= most_bytes else staged
+    return size <= most_bytes
+
+
+def broadcast_if_small(staged: DataFrame, most_bytes: int = 32_000_000) -> DataFrame:
+    """A staged table, marked for broadcast if it is small; else as it is."""
+    return F.broadcast(staged) if is_small(staged, most_bytes) else staged
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
