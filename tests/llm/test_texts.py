@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from lodestone.llm import leaks, textstats
 
@@ -57,6 +58,19 @@ def test_leaks_equal_brute_force(spark, rows):
     assert leaks.leak_report(found, it.where("item_id = 99")).collect()[0].n_docs == 0
 
 
+def test_dense_places_over_batches():
+    rng = random.Random(14)
+    docs = [(d, sorted(rng.sample(range(120), rng.randrange(1, 40)))) for d in range(12)]
+    flat = [(d, a) for d, at in docs for a in at]
+    want = [(d, a) for d, at in docs for a in at if any(x <= a <= x + 10 and sum(x <= y <= x + 10 for y in at) >= 3 for x in at)]
+    for size in (1, 2, 7, 1_000):
+        parts = [flat[i : i + size] for i in range(0, len(flat), size)]
+        frames = (pd.DataFrame({"doc_id": [d for d, _ in p], "at": [a for _, a in p], "h": 0, "seen": False}) for p in parts)
+        got = [(d, a) for b in leaks._dense_places(3, 10)(frames) for d, a in zip(b["doc_id"], b["at"])]
+        assert got == want
+    assert [*leaks._dense_places(3, 10)(iter(()))] == []
+
+
 def test_a_very_long_text(spark, rows):
     item = [f"w{k}" for k in range(40)]
     text = " ".join(["w1 w2 w3 zz"] * 50_000 + item[10:26])
