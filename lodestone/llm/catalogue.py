@@ -73,7 +73,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     types = textstats.text_types(load(spark, d, "documents").select("doc_id", "text"))
-    return types.where(F.col("text_type") == "other").select("doc_id")
+    return types.where(F.col("text_type") != "prose").select("doc_id")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:

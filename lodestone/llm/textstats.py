@@ -4,7 +4,7 @@ Each text is cut into blocks at blank lines and code fences. Thresholds on a blo
 functions that vote prose, not prose, or nothing. Expectation-maximization over the counts of the vote patterns of all
 blocks, of which there are at most 3 ** len(VOTES), learns how each function votes on either class from their
 agreements alone, and gives each pattern's posterior. A document's share of prose is the posterior mean over its
-characters.
+characters. What is not prose is told apart in the same way into lists, tables, code and junk.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ tämä vain vasta vielä
 che di e il non per sono una het een van dat niet voor zijn och att det som på är med av
 """.split()))
 #: The labelling functions, in the order of a pattern's characters: p prose, n not prose, - no vote.
+#: The kinds of text that is not prose, and the functions whose n speaks for each.
+KINDS = {"list": ("listed",), "table": ("digits",), "code": ("code",), "junk": ("odd_words", "token_length")}
 VOTES = ("common", "symbols", "sentences", "digits", "listed", "line_words", "code", "case", "token_length", "clean_words", "items", "odd_words")
 
 
@@ -38,7 +40,7 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
-def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", common_words: list[str] = COMMON) -> DataFrame:
     """doc_id, n_chars, n_words, mean_word_length, symbol_share, punct_line_share, common_share for every row.
 
     Words are runs of letters and digits; symbols are other characters but white space, as a share of the characters;
@@ -49,7 +51,7 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = rows.withColumn("w", F.regexp_extract_all(F.lower(t), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
     n, chars = F.size("w").cast("double"), F.length(t).cast("double")
     lines, ended = _count(t, "(?md)^[^\\S\\n]*+\\S"), _count(t, "[.!?…][\"'”»)]*[ \\t\\r]*(?:\\n|$)")
-    common = F.size(F.filter("w", lambda w: w.isin(COMMON))).cast("double")
+    common = F.size(F.filter("w", lambda w: w.isin(common_words))).cast("double")
     of = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     symbols = _count(t, "[^\\p{L}\\p{N}\\s]")
     length = F.length(F.array_join("w", "")).cast("double")
@@ -59,7 +61,7 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, block: the parts of each text between blank lines and code fences, without tags, quote marks and comment marks.
 
-    Passes over the text are made only where their characters occur.
+    A text without any has one block, null. Passes over the text are made only where their characters occur.
     """
     has = lambda c, mark, then: F.when(F.contains(c, F.lit(mark)), then).otherwise(c)
     rows = df.select(F.col(doc_id).alias("doc_id"), has(F.col(text), "\r", F.regexp_replace(text, "\\r\\n?", "\n")).alias("t"))
@@ -70,55 +72,50 @@ def blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = rows.select("doc_id", has(F.col("t"), ">", F.regexp_replace("t", "(?m)^[ \\t]*(?:>[ \\t]?)++", "")).alias("t"))
     rows = rows.select("doc_id", has(F.col("t"), "```", F.regexp_replace("t", "(?m)^[ \\t]*```[^\\n]*$", "\n\n```\n")).alias("t"))
     rows = rows.select("doc_id", F.regexp_replace("t", "(?m)^[ \\t]*(?:--|//|#+|\\*)[ \\t]+", "").alias("t"))
-    return rows.select("doc_id", F.explode(F.split("t", "\\n[ \\t]*(?=\\n)|\\n(?=```)")).alias("block")).where(F.col("block").rlike("[^\\s`]"))
+    parts = F.filter(F.split("t", "\\n[ \\t]*(?=\\n)|\\n(?=```)"), lambda b: b.rlike("[^\\s`]"))
+    return rows.select("doc_id", F.explode_outer(parts).alias("block"))
 
 
 def _shape_table() -> tuple[str, str]:
-    """By rule: small letters of the Latin blocks to a, capitals to A, digits to 0, sentence ends to a stop, apostrophes and hyphens to an apostrophe, other marks of prose to a comma."""
-    table = {x: to for xs, to in ((".!?…", "."), ("'’-–", "'"), (',:"“”„«»¿¡', ","), ("\t\r\x0b\x0c\xa0", " "), ("0123456789", "0")) for x in xs}
-    for cp in [*range(0x41, 0x7B), *range(0xAA, 0x250)]:
-        if chr(cp).isalpha():
-            table.setdefault(chr(cp), "A" if chr(cp).isupper() else "a")
+    """Sentence ends to a stop, apostrophes and hyphens to an apostrophe, other marks of prose to a comma, blanks to a space."""
+    table = {x: to for xs, to in ((".!?…", "."), ("'’-–", "'"), (',:"“”„«»¿¡', ","), ("\t\r\x0b\x0c\xa0", " ")) for x in xs}
     return "".join(table), "".join(table.values())
 
 
-def _space_table() -> tuple[str, str]:
-    """By rule: whatever in the blocks of Latin letters, punctuation and symbols is no letter, to a space."""
-    gone = "".join(chr(cp) for cp in [*range(1, 0x250), *range(0x2000, 0x2800), *range(0x3000, 0x3040), 0xFFFD] if not chr(cp).isalpha())
-    return gone, " " * len(gone)
-
-
-def votes(block_rows: DataFrame) -> DataFrame:
-    """doc_id, pattern, chars of each block: one character a labelling function.
+def votes(block_rows: DataFrame, common_words: list[str] = COMMON) -> DataFrame:
+    """doc_id, pattern, chars of each block: one character a labelling function; a null block has a null pattern.
 
     Links and short code spans within a line count as a word each, as their prose goes on around them. Most statistics
-    are taken from the block's shape, in which every kind of character is one ASCII character.
+    are taken from the block's shape, in which a run of letters is one a, a run of digits one 0, and marks of a kind
+    are one character: a fifth of the text, which one pass over the text gives.
     """
     has = lambda c, mark, then: F.when(F.contains(c, F.lit(mark)), then).otherwise(c)
     rows = block_rows.select("doc_id", F.trim("block", F.lit(" \t\n\r\x0b\x0c")).alias("t"))
     rows = rows.select("doc_id", F.length("t").alias("chars"), has(F.col("t"), "`", F.regexp_replace("t", "`[^`\\n]{1,80}`", "code")).alias("b"))
     links = F.regexp_replace(F.regexp_replace("b", "\\[([^\\[\\]]*)\\]\\(\\s*(?i:https?)://[^\\s()]*\\)", "$1"), "(?i:https?)://[^\\s<>\"]+", "link")
     rows = rows.select("doc_id", "chars", has(F.col("b"), "://", links).alias("b"))
-    other = F.when(F.col("b").rlike("[^\\x00-\\x{24f}]"), F.regexp_replace("b", "[\\p{L}&&[^\\x00-\\x{24f}]]", "a")).otherwise(F.col("b"))
-    low = F.lower("b")
-    rows = rows.select("doc_id", "chars", "b", F.translate(other, *_shape_table()).alias("m"), low.alias("low"), F.split(F.translate(low, *_space_table()), " ").alias("w"))
+    rows = rows.select("doc_id", "chars", "b", F.lower("b").alias("low"), F.regexp_replace("b", "\\p{L}++", "a").alias("s1"))
+    rows = rows.select("doc_id", "chars", "b", "low", "s1", F.regexp_replace("s1", "[0-9]++", "0").alias("s2"))
+    rows = rows.select("doc_id", "chars", "b", "low", F.length("b").alias("size"), F.length("s1").alias("size1"), F.length("s2").alias("size2"), F.translate("s2", *_shape_table()).alias("m"))
     m = F.col("m")
     n = lambda x: F.length(m) - F.length(F.replace(m, F.lit(x), F.lit("")))
-    rows = rows.select("doc_id", "chars", "b", "m", "low", "w", n("a").alias("small"), n("A").alias("upper"), n("0").alias("digits"), n("\n").alias("breaks"), (F.length(m) - n("\n") - n(" ")).alias("ink"), (n(".") + n(",") + n("'") + n(";") + n("(") + n(")")).alias("usual"))
+    rows = rows.select("doc_id", "chars", "b", "low", "m", "size", n("a").alias("words"), n("\n").alias("breaks"), n(" ").alias("gaps"), (F.col("size") - F.col("size1")).alias("more_letters"), (F.col("size1") - F.col("size2") + n("0")).alias("digits"), (n(".") + n(",") + n("'") + n(";") + n("(") + n(")")).alias("usual"))
+    rows = rows.withColumn("letters", F.col("more_letters") + F.col("words")).withColumn("ink", F.col("size") - F.col("breaks") - F.col("gaps"))
+    # Doubles throughout, as the counts below are compared as shares.
     measured = rows.select(
-        "doc_id", "chars", "ink", "digits", "upper",
-        (F.col("small") + F.col("upper")).alias("letters"),
-        (F.col("ink") - F.col("small") - F.col("upper") - F.col("digits") - F.col("usual")).alias("marks"),
+        "doc_id", "chars", "ink", "digits", "letters",
+        _count(F.col("b"), "[\\p{Lu}&&[\\x00-\\x{24f}]]").alias("upper"),
+        (F.col("ink") - F.col("letters") - F.col("digits") - F.col("usual")).alias("marks"),
         (F.col("breaks") + 1).cast("double").alias("lines"),
-        _count(m, "[aA]+").alias("words"),
-        F.size(F.filter("w", lambda w: w.isin(COMMON))).cast("double").alias("common"),
-        _count(m, "[aA0),'%][.]+[,')]*(?=\\s|$)").alias("ends"),
+        F.col("words").cast("double").alias("words"),
+        F.size(F.filter(F.split("low", "[^\\p{L}]+"), lambda w: w.isin(common_words))).cast("double").alias("common"),
+        _count(m, "[a0),'%][.]+[,')]*(?=\\s|$)").alias("ends"),
         _count(F.col("b"), "(?m)^(?:[ \\t]{2,}|[ \\t]*(?:[-*+•·–|$#{}<«©]|[0-9]+[.)][ \\t])).*[^\\s]|\\|[^\\n|]*\\|").alias("listed"),
         _count(m, "(?m)^ *[^ \\n]+(?: +[^ \\n]+){7}").alias("long_lines"),
-        _count(m, "[{}\\[\\];=]|[aA]\\(|'>|&&|\\|\\||[aA]_[aA]|[aA]\\.[aA]").alias("codelike"),
+        _count(m, "[{}\\[\\];=]|a\\(|'>|&&|\\|\\||a(?=[_.]a)").alias("codelike"),
         _count(m, "[^ \\n]+").alias("tokens"),
-        _count(m, "(?<![^ \\n])0++(?:[.,']0++)*+[.,]?(?![^ \\n])").alias("numbers"),
-        _count(m, "(?<![^ \\n])[(,'*_]*[aA]++(?:'[aA]++)*+[.,;)'*_]*(?![^ \\n])").alias("clean"),
+        _count(m, "(?<![^ \\n])0(?:[.,']0)*+[.,]?(?![^ \\n])").alias("numbers"),
+        _count(m, "(?<![^ \\n])[(,'*_]*a(?:'a)*+[.,;)'*_]*(?![^ \\n])").alias("clean"),
         _count(F.col("low"), "[bcdfghjklmnpqrstvwxz]{5,}").alias("odd"),
     )
     c = F.col
@@ -140,7 +137,7 @@ def votes(block_rows: DataFrame) -> DataFrame:
         say(never, (c("lines") >= 3) & (c("long_lines") == 0) & (c("ends") == 0)),
         say(never, (per("odd", "words") > 0.1) & (c("odd") >= 2)),
     )
-    return measured.select("doc_id", pattern.alias("pattern"), "chars")
+    return measured.select("doc_id", F.when(F.col("chars").isNotNull(), pattern).alias("pattern"), "chars")
 
 
 def learn(patterns: list[str], counts: list[int], rounds: int = 60) -> np.ndarray:
@@ -167,18 +164,48 @@ def learn(patterns: list[str], counts: list[int], rounds: int = 60) -> np.ndarra
     return post
 
 
-def text_types(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, prose_share, text_type ("prose" or "other") of every text that is neither null nor blank.
+def learn_kinds(patterns: list[str], weights: list[float], rounds: int = 60) -> np.ndarray:
+    """Posterior of each of KINDS for each pattern, given that it is not prose, by EM from the votes that speak for each kind."""
+    n = np.asarray(weights, dtype=float) + 1e-9
+    x = np.array([[("n", "-", "p").index(v) for v in p] for p in patterns])
+    one_hot = np.eye(3)[x]
+    own = np.array([[v in fs for v in VOTES] for fs in KINDS.values()], dtype=float)
+    score = ((x == 0) @ own.T) / own.sum(axis=1)
+    post = np.exp(4 * score)
+    post /= post.sum(axis=1, keepdims=True)
+    prior = np.where(own[:, :, None] > 0, [8.0, 1.0, 0.5], [1.0, 2.0, 1.0])
+    for _ in range(rounds):
+        w = n[:, None] * post
+        share = (w.sum(axis=0) + 1) / (n.sum() + len(KINDS))
+        given = np.einsum("pk,pfv->kfv", w, one_hot) + prior
+        given /= given.sum(axis=2, keepdims=True)
+        score = np.log(share) + np.einsum("pfv,kfv->pk", one_hot, np.log(given))
+        now = np.exp(score - score.max(axis=1, keepdims=True))
+        now /= now.sum(axis=1, keepdims=True)
+        if np.abs(now - post).max() < 1e-6:
+            return now
+        post = now
+    return post
+
+
+def text_types(df: DataFrame, doc_id: str = "doc_id", text: str = "text", common_words: list[str] = COMMON) -> DataFrame:
+    """doc_id, prose_share, text_type (prose, list, table, code or junk) of every text that is neither null nor blank.
 
-    Rows with a null doc_id are left out; repeated rows with one doc_id count as one text; an empty table gives no
-    rows. The functions' behaviour is learnt from all blocks of df at once.
+    A text is prose if at least half of its characters are, by posterior; else it is what most of its other characters
+    are. A text of marks only, such as a lone fence, is junk. Rows with a null doc_id are left out; repeated rows with
+    one doc_id count as one text; an empty table gives no rows. The functions' behaviour is learnt from all blocks of
+    df at once.
     """
     texts = df.where(F.col(doc_id).isNotNull() & F.col(text).rlike("\\S"))
-    voted = stage(votes(blocks(on_all_cores(texts.select(doc_id, text)), doc_id, text)))
-    table = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** 12 rows
-    post = learn([r.pattern for r in table], [r.n for r in table]) if table else []
-    known = df.sparkSession.createDataFrame([(r.pattern, float(p)) for r, p in zip(table, post)], "pattern string, prose double")
-    scored = voted.join(F.broadcast(known), "pattern").groupBy("doc_id").agg((F.sum(F.col("chars") * F.col("prose")) / F.sum("chars")).alias("prose_share"))
-    # A text of marks only, such as a lone fence, has no block.
-    every = texts.select(F.col(doc_id).alias("doc_id")).distinct().join(scored, "doc_id", "left").select("doc_id", F.coalesce("prose_share", F.lit(0.0)).alias("prose_share"))
-    return every.withColumn("text_type", F.when(F.col("prose_share") < 0.5, "other").otherwise("prose"))
+    voted = stage(votes(blocks(on_all_cores(texts.select(doc_id, text)), doc_id, text), common_words))
+    table = voted.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** 12 rows
+    patterns, counts = [r.pattern for r in table], [r.n for r in table]
+    post = learn(patterns, counts) if table else np.zeros(0)
+    kinds = learn_kinds(patterns, [*(np.asarray(counts) * (1 - post))]) if table else np.zeros((0, len(KINDS)))
+    rows = [(p, float(x), *(float((1 - x) * y) for y in k)) for p, x, k in zip(patterns, post, kinds)]
+    known = df.sparkSession.createDataFrame(rows, "pattern string, prose double, " + ", ".join(f"`{k}` double" for k in KINDS))
+    share = lambda c: F.coalesce(F.sum(F.col("chars") * F.col(c)) / F.sum("chars"), F.lit(0.0)).alias(c)
+    scored = voted.join(F.broadcast(known), "pattern", "left").groupBy("doc_id").agg(*[share(c) for c in ("prose", *KINDS)])
+    top = F.greatest(*KINDS)
+    kind = F.coalesce(*[F.when((top > 0) & (F.col(k) == top), k) for k in KINDS], F.lit("junk"))
+    return scored.select("doc_id", F.col("prose").alias("prose_share"), F.when(F.col("prose") < 0.5, kind).otherwise("prose").alias("text_type"))
