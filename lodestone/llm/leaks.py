@@ -39,30 +39,25 @@ def shingles(tokens: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)))
 
 
-def passage_within(item: list[str], doc: list[str], window: int, changes: int) -> bool:
-    """Whether some window of item is in doc, in order, at an edit distance of words of at most `changes`."""
+def held_within(words_of_item: list[str], doc: list[str], changes: int) -> bool:
+    """Whether the words are in doc, in order, at an edit distance of words of at most `changes`."""
     n = len(doc)
-    for start in range(len(item) - window + 1):
-        row = [0] * (n + 1)
-        for i, w in enumerate(item[start : start + window]):
-            left = row[0]
-            row[0] = i + 1
-            low = row[0]
-            for j in range(1, n + 1):
-                up = row[j]
-                best = left if doc[j - 1] == w else 1 + (left if left < up else up)
-                if best > row[j - 1] + 1:
-                    best = row[j - 1] + 1
-                left = up
-                row[j] = best
-                if best < low:
-                    low = best
-            if low > changes:
-                break
-        else:
-            if min(row) <= changes:
-                return True
-    return False
+    row = [0] * (n + 1)
+    for i, w in enumerate(words_of_item):
+        left = row[0]
+        low = row[0] = i + 1
+        for j in range(1, n + 1):
+            up = row[j]
+            best = left if doc[j - 1] == w else 1 + (left if left < up else up)
+            if best > row[j - 1] + 1:
+                best = row[j - 1] + 1
+            left = up
+            row[j] = best
+            if best < low:
+                low = best
+        if low > changes:
+            return False
+    return min(row) <= changes
 
 
 def dense(doc: np.ndarray, at: np.ndarray, need: int, width: int) -> np.ndarray:
@@ -97,30 +92,37 @@ def _dense_places(need: int, width: int):
 
 
 def _verified(window: int, changes: int):
-    """Of each candidate stretch, its places where enough shingles meet, checked until one holds."""
-    need = window - (SHINGLE - 1) - SHINGLE * changes
-    reach = window + 2 * changes
+    """Of each candidate stretch, the item windows around its shared shingles, checked until one holds.
 
-    def passes(item: list[str], doc: list[str], at: list[tuple[int, int]]) -> bool:
-        """at: (document place, item place) of shared shingles."""
+    A passage's shingles lie at most `changes` diagonals apart, and a window needs `need` of them at different places.
+    A passage is looked for in the stretch whose first half its first shared shingle is in.
+    """
+    per = window - (SHINGLE - 1)
+    need = per - SHINGLE * changes
+
+    def passes(item: list[str], doc: list[str], at: list[tuple[int, int]], end: int) -> bool:
+        """at: (document place, item place) of shared shingles; end: where the stretch's first half ends."""
         at = sorted(set(at))
-        checked = (-reach * 4, 0)
+        tried = set()
         for k, (d, i) in enumerate(at):
-            if d - checked[0] <= window + changes and abs(i - checked[1]) <= window + changes:
-                continue  # a passage through this place lies within what was checked last
-            end = bisect_right(at, (d + window + changes, len(item)), k)
-            if len({x for x, y in at[k:end] if abs((x - y) - (d - i)) <= 2 * changes}) < need:
+            if d >= end:
+                break
+            near = [(x, y) for x, y in at[k : bisect_right(at, (d + window + changes, len(item)), k)] if abs((x - y) - (d - i)) <= changes]
+            if len({x for x, _ in near}) < need:
                 continue
-            checked = (d, i)
-            lo, hi = max(0, d - 2 * reach), min(len(doc), d + 3 * reach)
-            a, b = max(0, i - 2 * reach), min(len(item), i + 3 * reach)
-            if passage_within(item[a:b], doc[lo:hi], window, changes):
-                return True
+            places = {y for _, y in near}
+            for w in range(max(0, i - per + 1), min(i, len(item) - window) + 1):
+                if (w, d - i) in tried or sum(w <= y < w + per for y in places) < need:
+                    continue
+                tried.add((w, d - i))
+                lo = max(0, w + d - i - changes)
+                if held_within(item[w : w + window], doc[lo : w + d - i + window + 2 * changes], changes):
+                    return True
         return False
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [passes([*i], [*d], [(x - start, y) for x, y in zip(p, q)]) for i, d, start, p, q in zip(b["item_words"], b["doc_words"], b["start"], b["doc_at"], b["item_at"])]
+            ok = [passes([*i], [*d], [(x - start, y) for x, y in zip(p, q)], end - start) for i, d, start, end, p, q in zip(b["item_words"], b["doc_words"], b["start"], b["end"], b["doc_at"], b["item_at"])]
             yield b.loc[ok, ["doc_id", "item_id"]]
 
     return check
@@ -160,14 +162,15 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     candidates = places.join(prefix, "h").select("doc_id", "item_id", both.alias("stretch")).distinct()
     shared = places.join(broadcast_if_small(spread_items).select("item_id", F.col("at").alias("item_at"), "h"), "h").select("doc_id", "item_id", "at", "item_at", both.alias("stretch"))
     shared = shared.join(candidates, ["doc_id", "item_id", "stretch"], "left_semi")
-    met = shared.groupBy("doc_id", "item_id", "stretch").agg(F.collect_list("at").alias("doc_at"), F.collect_list("item_at").alias("item_at"), F.count_distinct("at").alias("n")).where(F.col("n") >= need)
+    met = shared.groupBy("doc_id", "item_id", "stretch").agg(F.collect_list("at").alias("doc_at"), F.collect_list("item_at").alias("item_at"), F.count_distinct("at").alias("n"), F.min("at").alias("first")).where((F.col("n") >= need) & (F.col("first") < (F.col("stretch") + 1) * width))
     by_doc = stage(met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "stretch", "doc_at", "item_at")).alias("m")))
     # Of the texts only those of candidates are read again and cut into words once; their ids alone are few and narrow.
     wanted = broadcast_if_small(stage(by_doc.select("doc_id")))
     again = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi").join(by_doc, "doc_id")
-    start = F.greatest(F.col("m.stretch") * width - 2 * width, F.lit(0))
-    cut = again.select("doc_id", words(F.col("text")).alias("w"), F.explode("m").alias("m")).select("doc_id", "m.item_id", start.alias("start"), F.slice("w", start + 1, 6 * width).alias("doc_words"), "m.doc_at", "m.item_at")
-    full = cut.join(broadcast_if_small(it), "item_id").select("doc_id", "item_id", "start", "doc_words", "item_words", "doc_at", "item_at")
+    start = F.greatest((F.col("m.stretch") - 1) * width, F.lit(0))
+    cut = again.select("doc_id", words(F.col("text")).alias("w"), F.explode("m").alias("m"))
+    cut = cut.select("doc_id", "m.item_id", start.alias("start"), ((F.col("m.stretch") + 1) * width).alias("end"), F.slice("w", start + 1, 4 * width).alias("doc_words"), "m.doc_at", "m.item_at")
+    full = cut.join(broadcast_if_small(it), "item_id").select("doc_id", "item_id", "start", "end", "doc_words", "item_words", "doc_at", "item_at")
     return spread(full, "doc_id", "item_id", "start").mapInPandas(_verified(window, changes), "doc_id long, item_id long").distinct()
 
 

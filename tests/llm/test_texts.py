@@ -37,7 +37,7 @@ def brute(items, docs, window=15, changes=3):
     return sorted((a, i) for a, d in docs.items() for i, w in items.items() if any(near(w[k : k + window], d) for k in range(len(w) - window + 1)))
 
 
-def test_leaks_equal_brute_force(spark, rows):
+def test_leaks_equal_brute_force(spark, rows, monkeypatch):
     rng = random.Random(9)
     items = {k: [rng.choice(WORDS) for _ in range(rng.choice([12, 15, 40, 60]))] for k in range(12)}
     docs = {}
@@ -54,6 +54,10 @@ def test_leaks_equal_brute_force(spark, rows):
     want = brute(items, docs)
     found = leaks.leaked_items(df, it)
     assert rows(found) == sorted(want, key=repr) and len(want) > 20
+    with monkeypatch.context() as m:  # as if the items were too many to broadcast
+        m.setattr(leaks, "is_small", lambda *_: False)
+        m.setattr(leaks, "broadcast_if_small", lambda t, *_: t)
+        assert rows(leaks.leaked_items(df, it)) == sorted(want, key=repr)
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
     assert leaks.leak_report(found, it.where("item_id = 99")).collect()[0].n_docs == 0
 
@@ -104,7 +108,9 @@ def test_text_types(spark):
     mixed = [PROSE[0] + "\n\n```\n" + OTHER[2] * 4 + "```", PROSE[0] + " " + PROSE[0] + "\n\n    let x = [];"]
     rows = [*PROSE, *OTHER, *mixed, *many, None, "", " \n ", "```"]
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(rows)] + [(None, "No id here.", "")], "doc_id long, text string, pattern string")
-    got = {r.doc_id: r.text_type for r in textstats.text_types(df).collect()}
+    types = {r.doc_id: r.text_type for r in textstats.text_types(df).collect()}
+    assert [types[len(PROSE) + k] for k in (0, 1, 2, 7)] == ["list", "table", "code", "junk"]
+    got = {k: t if t == "prose" else "other" for k, t in types.items()}
     at = lambda k, part: {t[:30]: got[k + i] for i, t in enumerate(part)}
     assert at(0, PROSE) == {t[:30]: "prose" for t in PROSE}
     assert at(len(PROSE), OTHER) == {t[:30]: "other" for t in OTHER}
