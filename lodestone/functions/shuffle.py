@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
-    Only on a local master, where all executors are one process, is one set under the warehouse if none is named; on a
+    Only on a local master, where all executors are one process, is one under the warehouse taken if none is named; on a
     cluster a missing name is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,7 +19,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir names no shared folder")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 

@@ -39,6 +39,21 @@ def by_average(averages: DataFrame, city: str = "city") -> DataFrame:
     return averages.orderBy(F.desc("avg_stars"), F.asc_nulls_last(city))
 
 
+def top_by_driver(averages: DataFrame, k: int = 10, city: str = "city") -> list:
+    """The first k rows of by_average, by a sort in the driver's program; for comparison, and for a bounded number of cities."""
+    return sorted(averages.collect(), key=lambda r: (r["avg_stars"] is None, -(r["avg_stars"] or 0.0), r[city] is None, r[city] or ""))[:k]
+
+
+def compared_sorts(averages: DataFrame, k: int = 10, city: str = "city") -> dict[str, tuple[float, list]]:
+    """Seconds and rows of the top k: m1 collects all and sorts in the driver's program, m2 leaves it to the engine."""
+    out = {}
+    for name, run in (("m1", lambda: top_by_driver(averages, k, city)), ("m2", lambda: by_average(averages, city).limit(k).collect())):
+        began = time.perf_counter()
+        rows = run()
+        out[name] = (time.perf_counter() - began, rows)
+    return out
+
+
 def partition_sizes(df: DataFrame, n: int) -> DataFrame:
     """partition_no, n_items for 0 to n - 1, empty partitions as 0."""
     got = df.groupBy(F.spark_partition_id().alias("partition_no")).agg(F.count("*").alias("n_items"))

@@ -12,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.shuffle import broadcast_if_small, stage
+
 
 def baskets(df: DataFrame, key: str, item: str, larger_than: int = 0) -> DataFrame:
     """basket, items: each key's distinct items, sorted; only baskets of more than `larger_than` items.
@@ -63,7 +65,7 @@ def local_itemsets(sets: list[list[str]], support: float, longest: int | None =
 
 
 def candidate_itemsets(basket_rows: DataFrame, support: int, total: int, longest: int | None = None, chunk: int = 20_000) -> DataFrame:
-    """items: the itemsets frequent in some chunk at the support scaled to its size, a superset of the frequent ones."""
+    """items, n_parts: the itemsets frequent in some chunk at the support scaled to its size, a superset of the frequent ones, and in how many chunks each is."""
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[str]] = []
@@ -80,15 +82,30 @@ def candidate_itemsets(basket_rows: DataFrame, support: int, total: int, longest
             yield out(held)
 
     parts = max(1, total // chunk)
-    return basket_rows.select("items").repartition(parts).mapInPandas(mine, "items array<string>").distinct()
+    return basket_rows.select("items").repartition(parts).mapInPandas(mine, "items array<string>").groupBy("items").agg(F.count("*").alias("n_parts"))
 
 
 def counted(basket_rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """items, size, n: in how many baskets each candidate is contained, by joining items and not sets."""
-    named = candidates.select("items", F.size("items").alias("size"), F.explode("items").alias("item"))
-    held = basket_rows.select("basket", F.explode("items").alias("item"))
-    inside = held.join(named, "item").groupBy("basket", "items", "size").agg(F.count("*").alias("k")).where(F.col("k") == F.col("size"))
-    return inside.groupBy("items", "size").agg(F.count("*").alias("n"))
+    """items, size, n: in how many baskets each candidate is contained.
+
+    A candidate meets only the baskets that hold its rarest item, and is tested there as a whole; so a hot item costs
+    its own candidates and no others. The candidates are broadcast if their size allows it, so the baskets stay where
+    they are.
+    """
+    named = candidates.select("items", F.posexplode("items").alias("at", "item"))
+    held = basket_rows.select("items", F.explode("items").alias("item"))
+    common = held.groupBy("item").agg(F.count("*").alias("k"))
+    rarest = named.join(common, "item").groupBy("items").agg(F.min(F.struct("k", "item")).alias("r"))
+    asked = broadcast_if_small(stage(rarest.select(F.col("items").alias("asked"), F.col("r.item").alias("item"))))
+    inside = held.join(asked, "item").where(F.size(F.array_intersect("asked", "items")) == F.size("asked"))
+    return inside.groupBy(F.col("asked").alias("items")).agg(F.count("*").alias("n")).select("items", F.size("items").alias("size"), "n")
+
+
+def pairs_of(singles: DataFrame) -> DataFrame:
+    """items: each pair of the frequent items, a column x; there are at most a basket's mean size by the support of them."""
+    row = singles.agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    each = row.select("xs", F.posexplode("xs").alias("i", "x"))
+    return each.select("x", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y")).select(F.array("x", "y").alias("items"))
 
 
 def frequent_itemsets(basket_rows: DataFrame, share: float, longest: int | None = None) -> DataFrame:

@@ -28,11 +28,14 @@ def stacked(train: DataFrame, test: DataFrame, columns: list[str], key: list[str
 
     Each base model is fitted once per fold on the other folds and predicts the fold left out; the linear model learns
     from these predictions. On test a base model's prediction is the mean over folds. Folds go by a hash of the key.
+    The fits run at once over one table of binned features kept in memory until they are done.
     """
     rows = assembled(train, columns).withColumn("fold", F.pmod(F.xxhash64(*key, F.lit(42)), F.lit(folds))).select(*key, "stars", "features", "fold").persist()
     want = assembled(test, columns).select(*key, "features")
     left_out, on_test = None, want
-    makers = [lambda: GBTRegressor(labelCol="stars", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42), lambda: RandomForestRegressor(labelCol="stars", numTrees=forest, maxDepth=6, seed=42)]
+    # Ids of nodes kept with the rows spare each new tree the walk through all the trees before it.
+    kept = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 512, "seed": 42, "labelCol": "stars"}
+    makers = [lambda: GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, **kept), lambda: RandomForestRegressor(numTrees=forest, maxDepth=6, **kept)]
     fit = lambda k: makers[k[1]]().setPredictionCol(f"p{k[1]}").fit(rows.where(F.col("fold") != k[0]))
     keys = [(fold, i) for fold in range(folds) for i in range(len(makers))]
     with ThreadPoolExecutor(len(keys)) as pool:  # the fits are many short jobs
@@ -46,6 +49,7 @@ def stacked(train: DataFrame, test: DataFrame, columns: list[str], key: list[str
         part = part.select("stars", "p0", "p1")
         left_out = part if left_out is None else left_out.unionByName(part)
     meta = LinearRegression(labelCol="stars", featuresCol="base").fit(VectorAssembler(inputCols=["p0", "p1"], outputCol="base").transform(left_out))
+    rows.unpersist()
     mean = lambda i: (sum((F.col(f"t{i}_{k}") for k in range(folds)), F.lit(0.0)) / folds).alias(f"p{i}")
     base = VectorAssembler(inputCols=["p0", "p1"], outputCol="base").transform(on_test.select(*key, mean(0), mean(1)))
     return meta.transform(base).select(*key, "prediction")

@@ -78,16 +78,47 @@ def lsh_pairs(df: DataFrame, record: str, element: str, threshold: float = 0.5,
     return exact_jaccard(df, record, element, found).where(F.col("similarity") >= threshold)
 
 
+def _sized_rows(df: DataFrame, record: str, element: str) -> DataFrame:
+    """record, element, k, rank: distinct rows of records with k elements, each element's rank within its record by rarity."""
+    rows = df.select(F.col(record).alias("record"), F.col(element).alias("element")).dropna().distinct()
+    common = rows.groupBy("element").agg(F.count("*").alias("n"))
+    ranked = rows.join(common, "element").where(F.col("n") > 1)
+    own = Window.partitionBy("record").orderBy("n", "element")
+    return ranked.withColumn("rank", F.row_number().over(own)).withColumn("k", F.count("*").over(Window.partitionBy("record")))
+
+
 def pairs_sharing(df: DataFrame, record: str, element: str, least: int) -> DataFrame:
     """record_1 < record_2 and n_shared, for records that share at least `least` distinct elements.
 
-    Records with fewer elements, and elements of one record, are dropped before the self-join on the element.
+    Two such records share one of the k - least + 1 rarest of their k elements that others have too, so candidates are
+    joined on these alone and the most common elements make no pairs of their own. For least = 1 all are joined, as
+    every shared element is a pair of the result. Candidates are counted on the whole sets.
+    """
+    rows = stage(_sized_rows(df, record, element).where(F.col("k") >= least))
+    side = lambda r, k: r.select("element", F.col("record").alias(f"record_{k}"))
+    first = rows.where(F.col("rank") <= F.col("k") - least + 1)
+    met = side(first, 1).join(side(first, 2), "element").where(F.col("record_1") < F.col("record_2"))
+    if least == 1:
+        return met.groupBy("record_1", "record_2").agg(F.count("*").alias("n_shared"))
+    found = met.select("record_1", "record_2").distinct()
+    both = found.join(side(rows, 1), "record_1").join(side(rows, 2), ["record_2", "element"])
+    return both.groupBy("record_1", "record_2").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
+
+
+def similar_pairs(df: DataFrame, record: str, element: str, threshold: float) -> DataFrame:
+    """record_1 < record_2, similarity of all pairs whose sets' Jaccard similarity is at least threshold (over 0). Exact.
+
+    Two such sets share one of the n - ceil(threshold * n) + 1 rarest of their n elements, and the smaller has at least
+    threshold times the larger's; candidates are joined on these alone and counted on the whole sets.
     """
     rows = df.select(F.col(record).alias("record"), F.col(element).alias("element")).dropna().distinct()
-    able = rows.groupBy("record").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("record")
-    rows = rows.join(able, "record", "left_semi")
-    met = rows.groupBy("element").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("element")
-    rows = rows.join(met, "element", "left_semi")
-    side = lambda k: rows.select("element", F.col("record").alias(f"record_{k}"))
-    pairs = side(1).join(side(2), "element").where(F.col("record_1") < F.col("record_2"))
-    return pairs.groupBy("record_1", "record_2").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
+    common = rows.groupBy("element").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("record")
+    ranked = rows.join(common, "element").withColumn("rank", F.row_number().over(own.orderBy("df", "element"))).withColumn("n", F.count("*").over(own))
+    rows = stage(ranked.select("record", "element", "rank", "n"))
+    first = rows.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    side = lambda r, k: r.select("element", F.col("record").alias(f"record_{k}"), F.col("n").alias(f"n{k}"))
+    fits = (F.col("record_1") < F.col("record_2")) & (F.col("n1") >= F.col("n2") * threshold - 1e-9) & (F.col("n2") >= F.col("n1") * threshold - 1e-9)
+    found = side(first, 1).join(side(first, 2), "element").where(fits).select("record_1", "record_2", "n1", "n2").distinct()
+    both = found.join(side(rows, 1).drop("n1"), "record_1").join(side(rows, 2).drop("n2"), ["record_2", "element"]).groupBy("record_1", "record_2", "n1", "n2").agg(F.count("*").alias("both"))
+    return both.select("record_1", "record_2", (F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -6,6 +6,10 @@ batches is here a minimum per key: a bit is set from the first event that hashes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -44,16 +48,21 @@ def text_number(c: Column, prime: int) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: (acc * 256 + x) % prime)
 
 
+def filter_places(ids: DataFrame, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES, prime: int = BLOOM_PRIME) -> DataFrame:
+    """id, seq, bit: the places of each id in the filter. The id is reduced modulo prime."""
+    x = F.pmod("id", F.lit(prime))
+    at = F.array(*[((F.lit(a) * x + F.lit(b)) % prime) % bits for a, b in parameters(hashes, bits)])
+    return ids.select("id", "seq", F.explode(at).alias("bit"))
+
+
 def bloom_rates(events: DataFrame, number: Column, batch_size: int, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES, prime: int = BLOOM_PRIME) -> DataFrame:
     """batch, n_false, n_new, fpr, fpr_new: first occurrences that the filter takes for seen ones.
 
     number is the id as an integer; it is reduced modulo prime. fpr is over the batch's events, fpr_new over its new
     ids. Events that share an id share their bits, so only the first of an id can be a false positive.
     """
-    x = F.pmod(number.cast("long"), F.lit(prime))
-    at = F.array(*[((F.lit(a) * x + F.lit(b)) % prime) % bits for a, b in parameters(hashes, bits)])
-    first = events.select("seq", number.alias("id"), at.alias("bits")).groupBy("id").agg(F.min("seq").alias("seq"), F.first("bits").alias("bits"))
-    places = first.select("id", "seq", F.explode("bits").alias("bit"))
+    first = events.select("seq", number.cast("long").alias("id")).groupBy("id").agg(F.min("seq").alias("seq"))
+    places = filter_places(first, bits, hashes, prime)
     set_at = places.groupBy("bit").agg(F.min("seq").alias("set_at"))
     known = places.join(set_at, "bit").groupBy("id", "seq").agg(F.max("set_at").alias("last_set"))
     false = known.groupBy(F.expr(f"seq div {batch_size}").alias("batch")).agg(F.count(F.when(F.col("last_set") < F.col("seq"), 1)).alias("n_false"), F.count("*").alias("n_new"))
@@ -62,6 +71,15 @@ def bloom_rates(events: DataFrame, number: Column, batch_size: int, bits: int =
     return r.select("batch", "n_false", "n_new", (F.col("n_false") / F.col("n_events")).alias("fpr"), F.when(F.col("n_new") > 0, F.col("n_false") / F.col("n_new")).alias("fpr_new"))
 
 
+def filter_counters(rates: DataFrame, events: DataFrame, batch_size: int) -> DataFrame:
+    """batch, true_positive, false_positive, true_negative, false_negative of each batch's events, from bloom_rates.
+
+    An event of a seen id is always positive, one of a new id positive only by error.
+    """
+    size = batches(events, batch_size).select("batch", "n_events")
+    return rates.join(size, "batch").select("batch", (F.col("n_events") - F.col("n_new")).alias("true_positive"), F.col("n_false").alias("false_positive"), (F.col("n_new") - F.col("n_false")).alias("true_negative"), F.lit(0).cast("long").alias("false_negative"))
+
+
 def trailing_zeros(h: Column) -> Column:
     """Trailing zero bits; none for 0."""
     return F.when(h == 0, 0).otherwise(F.bit_count(h.bitwiseAND(-h) - 1))
@@ -72,15 +90,33 @@ def batch_ids(events: DataFrame, number: Column, batch_size: int) -> DataFrame:
     return events.select(F.expr(f"seq div {batch_size}").alias("batch"), F.pmod(number.cast("long"), F.lit(COUNT_PRIME)).alias("x"))
 
 
+def _zeros_of(hashes: int):
+    """Of each frame and batch the most trailing zeros of every hash, as rows of a batch and an array."""
+    a, b = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*parameters(hashes, 4_294_967_295)))
+    prime, top, low = np.uint64(COUNT_PRIME), np.uint64(COUNT_RANGE), np.uint64(65_535)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f.sort_values("batch")
+            for at in range(0, len(f), 5_000):
+                batch, x = f["batch"].to_numpy()[at : at + 5_000], f["x"].to_numpy()[at : at + 5_000].astype(np.uint64)
+                # Products stay within 64 bits by cutting a into two parts.
+                h = (((a >> np.uint64(16)) * x) % prime * np.uint64(65_536) + (a & low) * x + b) % prime % top
+                zeros = np.bitwise_count((h & (~h + np.uint64(1))) - np.uint64(1)).astype(np.int32)
+                zeros[h == 0] = 0
+                starts = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]])
+                yield pd.DataFrame({"batch": batch[starts], "zeros": [*np.maximum.reduceat(zeros, starts, axis=1).T]})
+
+    return fold
+
+
 def most_zeros(ids: DataFrame, hashes: int = 300) -> DataFrame:
     """batch, hash_no, zeros: the most trailing zeros of each hash over the batch's ids.
 
-    Products stay within 64 bits by cutting a into two parts.
+    Each task folds its ids into one array a batch, so what is shuffled are those and not ids times hashes.
     """
-    params = F.array(*[F.struct(F.lit(i).alias("hash_no"), F.lit(a >> 16).cast("long").alias("hi"), F.lit(a & 65_535).cast("long").alias("lo"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(parameters(hashes, 4_294_967_295))])
-    rows = ids.select("batch", "x", F.explode(params).alias("p"))
-    h = ((F.col("p.hi") * F.col("x")) % COUNT_PRIME * 65_536 + F.col("p.lo") * F.col("x") + F.col("p.b")) % COUNT_PRIME % COUNT_RANGE
-    return rows.select("batch", F.col("p.hash_no").alias("hash_no"), trailing_zeros(h).cast("int").alias("zeros")).groupBy("batch", "hash_no").agg(F.max("zeros").alias("zeros"))
+    folded = ids.select("batch", "x").mapInPandas(_zeros_of(hashes), "batch long, zeros array<int>")
+    return folded.select("batch", F.posexplode("zeros").alias("hash_no", "zeros")).groupBy("batch", "hash_no").agg(F.max("zeros").alias("zeros"))
 
 
 def estimates_of(zeros: DataFrame, distinct: DataFrame, group: int = 5) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.shuffle import stage_dir
 from lodestone.operators import exploration, features, graph, itemsets, learning, recommend, similarity, sketches
 from lodestone.sinks import writers
+from lodestone.sources import readers
 from lodestone.sources.tables import load
 from lodestone.streaming import micro
 
@@ -39,6 +42,12 @@ def explore_top10_cities(s: SparkSession, d: str) -> DataFrame:
     return explore_city_avg(s, d).limit(10)
 
 
+def explore_top10_cities_driver(s: SparkSession, d: str) -> DataFrame:
+    """The same by a sort in the driver's program."""
+    rows = exploration.top_by_driver(exploration.city_averages(_reviews(s, d), load(s, d, "business")).withColumn("avg_stars", F.round("avg_stars", 6)))
+    return readers.local_rows(s, [tuple(r) for r in rows], "city string, avg_stars double")
+
+
 def explore_partition_counts(s: SparkSession, d: str) -> DataFrame:
     return exploration.partition_report(_reviews(s, d).select("business_id"), "business_id", 8)
 
@@ -84,16 +93,21 @@ def itemset_triples(s: SparkSession, d: str) -> DataFrame:
     return _sets(itemsets.frequent_itemsets(_baskets(s, d), SHARE, 3)).where(F.col("size") == 3)
 
 
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    b = _baskets(s, d)
+    total = b.count()
+    return itemsets.candidate_itemsets(b, max(1, math.ceil(SHARE * total)), total)
+
+
 def itemset_lines(s: SparkSession, d: str) -> DataFrame:
-    return writers.itemset_lines(itemsets.frequent_itemsets(_baskets(s, d), SHARE), "Frequent Itemsets:")
+    """The report of the candidates and the frequent itemsets."""
+    sized = _candidates(s, d).withColumn("size", F.size("items"))
+    return writers.itemset_report(sized, itemsets.frequent_itemsets(_baskets(s, d), SHARE))
 
 
 def itemset_candidates(s: SparkSession, d: str) -> DataFrame:
-    """The itemsets that some part of the baskets holds often enough; which ones depends on the parts."""
-    b = _baskets(s, d)
-    total = b.count()
-    found = itemsets.candidate_itemsets(b, max(1, math.ceil(SHARE * total)), total)
-    return found.select(F.array_join("items", "|").alias("itemset"), F.size("items").alias("size"))
+    """The itemsets that some part of the baskets holds often enough; which ones depends on the parts, of which 40,000 baskets make one."""
+    return _candidates(s, d).select(F.array_join("items", "|").alias("itemset"), F.size("items").alias("size"), "n_parts")
 
 
 def fpgrowth_itemsets(s: SparkSession, d: str) -> DataFrame:
@@ -104,8 +118,7 @@ def set_containment(s: SparkSession, d: str) -> DataFrame:
     """In how many baskets each pair of frequent items is contained."""
     b = _baskets(s, d)
     singles = itemsets.frequent_itemsets(b, SHARE, 1).select(F.get("items", F.lit(0)).alias("x"))
-    pairs = singles.join(singles.withColumnRenamed("x", "y"), F.col("x") < F.col("y")).select(F.array("x", "y").alias("items"))
-    return _sets(itemsets.counted(b, pairs))
+    return _sets(itemsets.counted(b, itemsets.pairs_of(singles)))
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -137,9 +150,8 @@ def _train(s: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_exact(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of businesses with at least two users in common and their similarity."""
-    shared = similarity.pairs_sharing(_train(s, d), "business_id", "user_id", 2)
-    return similarity.exact_jaccard(_train(s, d), "business_id", "user_id", shared.select("record_1", "record_2")).withColumn("similarity", F.round("similarity", 6))
+    """All pairs of businesses whose sets of users have a similarity of at least 0.5."""
+    return similarity.similar_pairs(_train(s, d), "business_id", "user_id", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 def jaccard_overlaps(s: SparkSession, d: str) -> DataFrame:
@@ -164,6 +176,11 @@ def lsh_pairs(s: SparkSession, d: str) -> DataFrame:
     return similarity.lsh_pairs(_train(s, d), "business_id", "user_id").withColumn("similarity", F.round("similarity", 6))
 
 
+def lsh_lines(s: SparkSession, d: str) -> DataFrame:
+    """The pairs as sorted lines under a header."""
+    return writers.pair_lines(lsh_pairs(s, d))
+
+
 def _events(s: SparkSession, d: str) -> DataFrame:
     return sketches.numbered(load(s, d, "events"), "ts", "event_id")
 
@@ -189,6 +206,11 @@ def bloom_fpr_ids(s: SparkSession, d: str) -> DataFrame:
     return sketches.bloom_rates(_events(s, d), F.col("event_id"), BATCH)
 
 
+def bloom_counters(s: SparkSession, d: str) -> DataFrame:
+    """The four outcomes of the filter over the events' own ids."""
+    return sketches.filter_counters(bloom_fpr_ids(s, d), _events(s, d), BATCH)
+
+
 def fm_distinct(s: SparkSession, d: str) -> DataFrame:
     return sketches.distinct_estimates(_events(s, d), F.col("user_id"), BATCH)
 
@@ -223,11 +245,11 @@ def stream_fm_structured(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_bloom_structured(s: SparkSession, d: str) -> DataFrame:
-    return micro.bloom_rates_of(micro.drained(micro.stream_bloom(micro.as_stream(_events(s, d)), _number(), BATCH), "append"))
+    return micro.bloom_rates_of(micro.stream_bloom(micro.as_stream(_events(s, d)), _number(), BATCH))
 
 
 def stream_bloom_ids_structured(s: SparkSession, d: str) -> DataFrame:
-    return micro.bloom_rates_of(micro.drained(micro.stream_bloom(micro.as_stream(_events(s, d)), F.col("event_id"), BATCH), "append"))
+    return micro.bloom_rates_of(micro.stream_bloom(micro.as_stream(_events(s, d)), F.col("event_id"), BATCH))
 
 
 def stream_window_counts(s: SparkSession, d: str) -> DataFrame:
@@ -352,6 +374,36 @@ def stacking(s: SparkSession, d: str) -> DataFrame:
     return learning.stacked(train, test, [c for c in train.columns if c[:2] in ("u_", "b_", "a_")], ["user", "item"], trees=200, forest=100)
 
 
+def _written(s: SparkSession, name: str) -> str:
+    return f"{stage_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The training ratings, written as CSV and read back."""
+    writers.write_csv(_train(s, d).select("user_id", "business_id", "stars"), path := _written(s, "csv"))
+    return readers.csv_table(s, path, readers.RATING)
+
+
+def json_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The businesses, attributes apart, written as JSON lines and read back."""
+    writers.write_json(load(s, d, "business").select("business_id", "stars", "review_count", "is_open", "postal_code", "categories"), path := _written(s, "json"))
+    return readers.json_lines(s, path, readers.BUSINESS).drop("attributes")
+
+
+def text_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The basket lines of the events, written as text and counted as read back."""
+    writers.write_lines(load(s, d, "events").select(F.concat_ws(",", "event_id", "user_id", "event_type").alias("value")), path := _written(s, "text"))
+    return readers.text_lines(s, path)
+
+
+def transactions_read(s: SparkSession, d: str) -> DataFrame:
+    """Baskets of a quoted file of transactions: the events by day, user and kind of event."""
+    zeros = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    rows = load(s, d, "events").select(F.date_format("ts", "M/d/yyyy").alias("DAY"), zeros("user_id").alias("CUSTOMER"), F.lit("x, y").alias("A"), F.lit(1).alias("B"), F.lit(2).alias("C"), zeros("event_id").alias("PRODUCT"))
+    rows.write.option("header", True).option("quoteAll", True).csv(path := _written(s, "quoted"))
+    return readers.transactions(s, path).groupBy("basket").agg(F.count("*").alias("n_items"), F.min(F.col("item").cast("long")).alias("first_item"))
+
+
 _R = "WITH r AS (SELECT user_id AS \"user\", business_id AS item, stars FROM yelp_train WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL), v AS (SELECT user_id AS \"user\", business_id AS item, stars FROM yelp_val)"
 _ONE = f"""{_R}, o AS (SELECT "user", item, avg(stars) AS stars FROM r GROUP BY 1, 2), im AS (SELECT item, avg(stars) AS m FROM r GROUP BY 1), um AS (SELECT "user", avg(stars) AS m FROM r GROUP BY 1)"""
 _WEIGHT = """, co AS (SELECT item_1, item_2, count(*) AS n, sum(x.stars * y.stars) - sum(x.stars) * sum(y.stars) / count(*) AS xy, sum(x.stars * x.stars) - sum(x.stars) * sum(x.stars) / count(*) AS xx, sum(y.stars * y.stars) - sum(y.stars) * sum(y.stars) / count(*) AS yy
@@ -372,12 +424,14 @@ j AS (SELECT p.prediction, v.stars FROM p JOIN v ON v."user" = p."user" AND v.it
 )
 _B = "WITH d AS (SELECT DISTINCT coalesce(user_id, chr(1)) AS g, business_id AS i FROM ub_sample_data WHERE business_id IS NOT NULL), "
 _SETS = (
-    _B
+    _B.replace("WITH", "WITH RECURSIVE", 1)
     + f"""t AS (SELECT ceil({SHARE} * count(DISTINCT g)) AS s FROM d), s1 AS (SELECT i, count(*) AS n FROM d GROUP BY i HAVING count(*) >= (SELECT s FROM t)), f AS (SELECT g, i FROM d WHERE i IN (SELECT i FROM s1)),
-s2 AS (SELECT a.i AS i, b.i AS j, count(*) AS n FROM f a JOIN f b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= (SELECT s FROM t)),
-s3 AS (SELECT a.i AS i, b.i AS j, c.i AS k, count(*) AS n FROM f a JOIN f b ON a.g = b.g AND a.i < b.i JOIN s2 ON s2.i = a.i AND s2.j = b.i JOIN f c ON c.g = b.g AND b.i < c.i GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT s FROM t)) """
+fs AS (SELECT g, list(i ORDER BY i) AS held FROM f GROUP BY g),
+grow(items, n) AS (SELECT [i], n FROM s1 UNION ALL SELECT items, count(*) FROM (SELECT list_append(grow.items, x.i) AS items FROM grow JOIN fs ON list_has_all(fs.held, grow.items) JOIN f x ON x.g = fs.g AND x.i > grow.items[-1]) GROUP BY items HAVING count(*) >= (SELECT s FROM t)),
+sets AS (SELECT array_to_string(items, '|') AS itemset, CAST(len(items) AS INTEGER) AS size, n, items FROM grow) """
 )
-_S1, _S2, _S3 = "SELECT i AS itemset, 1 AS size, n FROM s1", "SELECT i || '|' || j AS itemset, 2 AS size, n FROM s2", "SELECT i || '|' || j || '|' || k AS itemset, 3 AS size, n FROM s3"
+_LINES = """lines AS (SELECT size, string_agg('(' || chr(39) || array_to_string(items, chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY items) AS v FROM sets GROUP BY size),
+sections AS (SELECT 0 AS line_no, {title} AS value UNION ALL SELECT size * 2, v FROM lines UNION ALL SELECT size * 2 + 1, '' FROM lines)"""
 _EDGE = """WITH d AS (SELECT DISTINCT user_id AS u, business_id AS b FROM ub_sample_data WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
 e AS (SELECT x.u AS src, y.u AS dst, count(*) AS n_shared FROM d x JOIN d y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= %d)""" % OVERLAP
 _LABELS = _EDGE + ", l AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l0 AS (SELECT DISTINCT src AS vertex, src AS label FROM l)" + "".join(
@@ -393,6 +447,7 @@ _SIG = (
 _BANDS = _SIG + ", bd AS (" + " UNION ALL ".join(f"SELECT record, {i // 2} AS band, h{i} AS p, h{i + 1} AS q FROM sg" for i in range(0, 30, 2)) + ")"
 _JACCARD = """, sz AS (SELECT record, count(*) AS k FROM d GROUP BY record), sh AS (SELECT x.record AS record_1, y.record AS record_2, count(*) AS m FROM d x JOIN d y ON x.u = y.u AND x.record < y.record GROUP BY 1, 2),
 jc AS (SELECT record_1, record_2, m, round(CAST(m AS DOUBLE) / (a.k + b.k - m), 6) AS similarity FROM sh JOIN sz a ON a.record = record_1 JOIN sz b ON b.record = record_2) """
+_LSH = _BANDS + _JACCARD + "SELECT DISTINCT jc.record_1, jc.record_2, similarity FROM jc JOIN bd x ON x.record = record_1 JOIN bd y ON y.record = record_2 AND y.band = x.band AND y.p = x.p AND y.q = x.q WHERE similarity >= 0.5"
 _E = f"WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events), b AS (SELECT *, seq // {BATCH} AS batch, (event_id * 31 + user_id) % 30011 AS id FROM e) "
 _BLOOM = (
     _E
@@ -447,30 +502,41 @@ ORACLES = {
     "explore_top10_business": "SELECT business_id, count(*) AS n FROM review GROUP BY 1 ORDER BY n DESC, business_id NULLS LAST LIMIT 10",
     "explore_city_avg": "SELECT city, round(avg(review.stars), 6) AS avg_stars FROM review LEFT JOIN business USING (business_id) GROUP BY city",
     "explore_top10_cities": "SELECT city, round(avg(review.stars), 6) AS avg_stars FROM review LEFT JOIN business USING (business_id) GROUP BY city ORDER BY avg_stars DESC, city NULLS LAST LIMIT 10",
+    "explore_top10_cities_driver": "SELECT city, round(avg(review.stars), 6) AS avg_stars FROM review LEFT JOIN business USING (business_id) GROUP BY city ORDER BY avg_stars DESC, city NULLS LAST LIMIT 10",
+    "explore_document": """SELECT '{"n_review":' || count(*) || ',"n_review_year":' || count(*) FILTER (WHERE contains(review_date, '2018')) || ',"n_user":' || (SELECT count(*) FROM (SELECT DISTINCT user_id FROM review)) || ',"n_business":' || (SELECT count(*) FROM (SELECT DISTINCT business_id FROM review)) || '}' AS value FROM review""",
+    "csv_round_trip": "SELECT user_id, business_id, stars FROM yelp_train",
+    "json_round_trip": "SELECT business_id, stars, review_count, is_open, postal_code, categories FROM business",
+    "text_round_trip": "SELECT event_id || ',' || user_id || ',' || event_type AS value FROM events",
+    "transactions_read": "SELECT strftime(ts, '%-m/%-d/%Y') || '-' || user_id AS basket, count(*) AS n_items, min(event_id) AS first_item FROM events GROUP BY 1",
     "basket_build": "SELECT user_id AS basket, count(DISTINCT business_id) AS n_items FROM ub_sample_data WHERE business_id IS NOT NULL GROUP BY 1",
     "basket_filtered": "SELECT user_id AS basket, count(DISTINCT business_id) AS n_items FROM ub_sample_data WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT business_id) > 5",
     "basket_by_business": "SELECT business_id AS basket, count(DISTINCT user_id) AS n_items FROM ub_sample_data WHERE user_id IS NOT NULL GROUP BY 1",
-    "itemset_son": _SETS + f"{_S1} UNION ALL {_S2} UNION ALL {_S3}",
-    "itemset_singles": _SETS + _S1,
-    "itemset_pairs": _SETS + _S2,
-    "itemset_triples": _SETS + _S3,
-    "fpgrowth_itemsets": _SETS + f"{_S1} UNION ALL {_S2} UNION ALL {_S3}",
+    "itemset_son": _SETS + "SELECT itemset, size, n FROM sets",
+    "itemset_singles": _SETS + "SELECT itemset, size, n FROM sets WHERE size = 1",
+    "itemset_pairs": _SETS + "SELECT itemset, size, n FROM sets WHERE size = 2",
+    "itemset_triples": _SETS + "SELECT itemset, size, n FROM sets WHERE size = 3",
+    "fpgrowth_itemsets": _SETS + "SELECT itemset, size, n FROM sets",
+    # Under 40,000 baskets are one part, whose candidates are the frequent itemsets.
+    "itemset_candidates": _SETS + "SELECT itemset, size, CAST(1 AS BIGINT) AS n_parts FROM sets",
+    "itemset_lines": _SETS + ", " + _LINES.format(title="'Candidates:'") + " SELECT line_no, value FROM sections UNION ALL SELECT line_no + (SELECT max(line_no) + 1 FROM sections), CASE WHEN line_no = 0 THEN 'Frequent Itemsets:' ELSE value END FROM sections",
     "set_containment": _SETS + "SELECT a.i || '|' || b.i AS itemset, 2 AS size, count(*) AS n FROM f a JOIN f b ON a.g = b.g AND a.i < b.i GROUP BY 1",
     "overlap_edges": _EDGE + " SELECT src, dst, n_shared FROM e",
     "label_propagation": _LABELS + " SELECT vertex, label FROM l5",
     "community_lines": _LABELS + ", c AS (SELECT label, list(vertex ORDER BY vertex) AS m FROM l5 GROUP BY 1) SELECT len(m) AS size, '''' || array_to_string(m, ''', ''') || '''' AS value FROM c",
-    "jaccard_exact": _T[:-2] + _JACCARD + "SELECT record_1, record_2, similarity FROM jc WHERE m >= 2",
+    "jaccard_exact": _T[:-2] + _JACCARD + "SELECT record_1, record_2, similarity FROM jc WHERE similarity >= 0.5",
     "jaccard_overlaps": _T[:-2] + _JACCARD + "SELECT record_1, record_2, similarity FROM jc",
     "ordinal_index": "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS ordinal FROM (SELECT DISTINCT user_id FROM yelp_train WHERE user_id IS NOT NULL)",
     "minhash_signature": _SIG + " SELECT * FROM sg",
     "union_bands": _BANDS + " SELECT band, count(*) AS n_records, count(DISTINCT (p, q)) AS n_parts FROM bd GROUP BY band",
-    "lsh_pairs": _BANDS + _JACCARD + "SELECT DISTINCT jc.record_1, jc.record_2, similarity FROM jc JOIN bd x ON x.record = record_1 JOIN bd y ON y.record = record_2 AND y.band = x.band AND y.p = x.p AND y.q = x.q WHERE similarity >= 0.5",
+    "lsh_pairs": _LSH,
+    "lsh_lines": "SELECT 'business_id_1,business_id_2,similarity' AS value UNION ALL SELECT record_1 || ',' || record_2 || ',' || CAST(similarity AS VARCHAR) FROM (" + _LSH + ")",
     "stream_batches": _E + "SELECT batch, count(*) AS n_events, min(seq) AS first_seq, max(seq) AS last_seq FROM b GROUP BY batch",
     "stream_positional": _PICK,
     "stream_positional_structured": _PICK,
     "bloom_fpr": _BLOOM,
     "stream_bloom_structured": _BLOOM,
     "bloom_fpr_ids": _BLOOM_IDS,
+    "bloom_counters": f"SELECT batch, n_events - n_new AS true_positive, n_false AS false_positive, n_new - n_false AS true_negative, CAST(0 AS BIGINT) AS false_negative FROM ({_BLOOM_IDS}) JOIN ({_E} SELECT batch, count(*) AS n_events FROM b GROUP BY batch) USING (batch)",
     "stream_bloom_ids_structured": _BLOOM_IDS,
     "fm_distinct": _FM + "SELECT batch, n_distinct, estimate FROM n JOIN md USING (batch)",
     "stream_fm_structured": _FM + "SELECT batch, n_distinct, estimate FROM n JOIN md USING (batch)",
@@ -498,5 +564,5 @@ CAST(useful AS DOUBLE) AS u_useful, CAST(funny AS DOUBLE) AS u_funny, CAST(cool
     "edge_betweenness": _BETWEEN,
     "missing_fill": _R + _WIDE,
 }
-_NAMES = [*ORACLES, "explore_partition_counts", "explore_document", "itemset_candidates", "itemset_lines", "betweenness_lines", "hll_distinct", "model_predict", "model_rmse", "hybrid_blend", "stacking"]
+_NAMES = [*ORACLES, "explore_partition_counts", "betweenness_lines", "hll_distinct", "model_predict", "model_rmse", "hybrid_blend", "stacking"]
 QUERIES = {n: globals()[n] for n in _NAMES}

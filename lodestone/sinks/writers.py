@@ -36,6 +36,20 @@ def itemset_lines(sets: DataFrame, title: str) -> DataFrame:
     return sets.sparkSession.createDataFrame([(0, title)], "line_no int, value string").unionByName(lines).orderBy("line_no")
 
 
+def itemset_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
+    """line_no, value: the section of the candidates and that of the frequent itemsets, each as itemset_lines."""
+    first = itemset_lines(candidates, "Candidates:").withColumn("part", F.lit(0))
+    both = first.unionByName(itemset_lines(frequent, "Frequent Itemsets:").withColumn("part", F.lit(1)))
+    last = first.agg(F.max("line_no").alias("n")).scalar()
+    return both.select((F.col("line_no") + F.col("part") * (last + 1)).alias("line_no"), "value").orderBy("line_no")
+
+
+def pair_lines(pairs: DataFrame) -> DataFrame:
+    """value: `record,record,similarity` lines with a header, sorted by the records."""
+    body = pairs.orderBy("record_1", "record_2").select(F.concat_ws(",", "record_1", "record_2", F.col("similarity").cast("string")).alias("value"))
+    return pairs.sparkSession.createDataFrame([("business_id_1,business_id_2,similarity",)], "value string").unionByName(body)
+
+
 def community_lines(communities: DataFrame) -> DataFrame:
     """size, members, value: one line a community, the smallest first."""
     return communities.select(F.size("members").alias("size"), "members", quoted_members(F.col("members")).alias("value")).orderBy("size", "members")

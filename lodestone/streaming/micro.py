@@ -6,33 +6,38 @@ state and results are kept in the shared folder.
 
 from __future__ import annotations
 
-import pickle
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import shared_dir
+from lodestone.functions.shuffle import stage_dir
 from lodestone.operators import sketches
 
 
-def as_stream(events: DataFrame, files: int = 4, order: str = "seq", align: int = 100) -> DataFrame:
-    """The rows of a numbered table as a stream of files in order, one a trigger, cut at multiples of `align`."""
+def as_stream(events: DataFrame, files: int = 4, order: str = "seq") -> DataFrame:
+    """The rows of a numbered table as a stream of files in order, one a trigger.
+
+    One pass cuts the table into ranges, and as many tasks write them; their times are then set in the ranges' order,
+    which is the order a file source reads in.
+    """
     spark = events.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    top = (events.agg(F.max(order).alias("m")).first()["m"] or 0) + 1
-    step = max(1, -(-top // (files * align))) * align
-    for k in range(files):
-        events.where((F.col(order) >= k * step) & (F.col(order) < (k + 1) * step)).coalesce(1).write.mode("append").parquet(path)
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(x.getPath().toString() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    now = jvm.System.currentTimeMillis()
+    for k, part in enumerate(parts):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(part), now - 1_000 * (len(parts) - k), -1)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """All results of a query over what the source has now. mode: complete or append."""
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+    out = f"{stage_dir(spark)}/drained-{uuid.uuid4().hex}"
     save = "overwrite" if mode == "complete" else "append"
 
     def keep(rows: DataFrame, _: int) -> None:
@@ -56,34 +61,44 @@ def stream_ids(stream: DataFrame, number: Column, batch_size: int) -> DataFrame:
     return sketches.batch_ids(stream, number, batch_size).dropDuplicates(["batch", "x"])
 
 
-def _filter_step(batch_size: int, bits: int, hashes: int, prime: int) -> Callable:
-    pairs = sketches.parameters(hashes, bits)
-
-    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, on = pickle.loads(state.get[0]) if state.exists else (set(), set())
-        rows = pd.concat([*frames]).sort_values("seq")
-        tally: dict[int, list[int]] = {}
-        for seq, x in zip(rows["seq"], rows["id"]):
-            own = tally.setdefault(seq // batch_size, [0, 0, 0])
-            own[2] += 1
-            if x in seen:
-                continue
-            places = {(a * (x % prime) + b) % prime % bits for a, b in pairs}
-            own[0] += places <= on
-            own[1] += 1
-            seen.add(x)
-            on |= places
-        state.update((pickle.dumps((seen, on)),))
-        yield pd.DataFrame([(k, *v) for k, v in tally.items()], columns=["batch", "n_false", "n_new", "n_events"])
-
-    return step
-
-
 def stream_bloom(stream: DataFrame, number: Column, batch_size: int, bits: int = sketches.BLOOM_BITS, hashes: int = sketches.BLOOM_HASHES, prime: int = sketches.BLOOM_PRIME) -> DataFrame:
-    """batch, n_false, n_new, n_events from a filter kept as state. One filter means one key; its exact shadow set is the truth."""
-    rows = stream.select("seq", number.cast("long").alias("id"), F.lit(0).alias("filter"))
-    step = _filter_step(batch_size, bits, hashes, prime)
-    return rows.groupBy("filter").applyInPandasWithState(step, "batch long, n_false long, n_new long, n_events long", "held binary", "append", "NoTimeout")
+    """batch, n_false, n_new, n_events of a stream that comes in the order of seq, drained.
+
+    The state is two tables in the shared folder: the ids seen, and since when each bit of the filter is set. A trigger
+    joins its events with them and appends what is new, so neither is held by one task. A trigger that is run again
+    overwrites its own part of them.
+    """
+    spark = stream.sparkSession
+    path = f"{stage_dir(spark)}/filter-{uuid.uuid4().hex}"
+    kinds = {"ids": "id long", "bits": "bit long, since long", "counts": "batch long, n_false long, n_new long, n_events long"}
+    told: list[int] = []
+
+    def state(name: str, before: int | None = None) -> DataFrame:
+        parts = [f"{path}/{name}/{k}" for k in told if before is None or k < before]
+        return spark.read.schema(kinds[name]).parquet(*parts) if parts else spark.createDataFrame([], kinds[name])
+
+    def step(rows: DataFrame, k: int) -> None:
+        rows = rows.persist()
+        first = rows.groupBy("id").agg(F.min("seq").alias("seq")).join(state("ids", k), "id", "left_anti")
+        first.select("id").write.mode("overwrite").parquet(f"{path}/ids/{k}")
+        places = sketches.filter_places(first, bits, hashes, prime).persist()
+        known = state("bits", k)
+        fresh = places.groupBy("bit").agg(F.min("seq").alias("since")).join(known.select("bit"), "bit", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/bits/{k}")
+        since = known.unionByName(spark.read.schema(kinds["bits"]).parquet(f"{path}/bits/{k}"))
+        judged = places.join(since, "bit").groupBy("id", "seq").agg(F.max("since").alias("last_set"))
+        new = judged.groupBy(F.expr(f"seq div {batch_size}").alias("batch")).agg(F.count(F.when(F.col("last_set") < F.col("seq"), 1)).alias("n_false"), F.count("*").alias("n_new"))
+        size = sketches.batches(rows, batch_size).select("batch", "n_events")
+        of = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        size.join(new, "batch", "left").select("batch", of("n_false"), of("n_new"), "n_events").write.mode("overwrite").parquet(f"{path}/counts/{k}")
+        places.unpersist()
+        rows.unpersist()
+        if k not in told:
+            told.append(k)
+
+    ids = stream.select("seq", number.cast("long").alias("id"))
+    ids.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return state("counts").groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("n_false", "n_new", "n_events")])
 
 
 def bloom_rates_of(counts: DataFrame) -> DataFrame:

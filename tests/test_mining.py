@@ -24,6 +24,8 @@ def test_exploration(spark, rows):
     report = exploration.partition_report(r, "user_id", 5).collect()
     assert {k: sum(x.n_items for x in report if x.layout == k) for k in ("default", "customized")} == {"default": 4, "customized": 4}
     assert exploration.timed(r) >= 0
+    m = exploration.compared_sorts(exploration.city_averages(r, b))
+    assert m["m1"][1] == m["m2"][1] and min(m["m1"][0], m["m2"][0]) >= 0
     assert r.select(exploration.distinct_keys(r, "user_id").alias("n")).first().n == 3
 
 
@@ -32,7 +34,7 @@ def brute_itemsets(sets, support, longest):
     return {c: n for c, n in tally.items() if n >= support}
 
 
-def test_itemsets_equal_brute_force(spark):
+def test_itemsets_equal_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     data = [(f"g{k}", f"i{min(rng.randrange(9), rng.randrange(9))}") for k in range(120) for _ in range(rng.randrange(1, 7))]
     df = spark.createDataFrame(data + data[:20] + [("g1", None), (None, "i1")], "g string, i string")
@@ -44,7 +46,15 @@ def test_itemsets_equal_brute_force(spark):
     assert itemsets.support_count(b, 0.1) == 13
     got = lambda x: {tuple(r["items"]): r.n for r in x.collect()}
     assert got(itemsets.frequent_itemsets(b, 0.1)) == want and len(want) > 15
-    assert got(itemsets.counted(b, itemsets.candidate_itemsets(b, 13, len(sets), 3, chunk=10)).where("n >= 13")) == want  # however the baskets are cut
+    cut = itemsets.candidate_itemsets(b, 13, len(sets), 3, chunk=10)
+    assert got(itemsets.counted(b, cut).where("n >= 13")) == want  # however the baskets are cut
+    assert max(r.n_parts for r in cut.collect()) > 1 and {r.n_parts for r in itemsets.candidate_itemsets(b, 13, len(sets)).collect()} == {1}
+    monkeypatch.setattr(itemsets, "broadcast_if_small", lambda t: t)
+    assert got(itemsets.frequent_itemsets(b, 0.1)) == want
+    report = [r.value for r in writers.itemset_report(cut.withColumn("size", F.size("items")), itemsets.frequent_itemsets(b, 0.1)).collect()]
+    assert report[0] == "Candidates:" and report.count("Frequent Itemsets:") == 1 and len(report) == 2 * (1 + 2 * 3)
+    pairs = {tuple(r["items"]) for r in itemsets.pairs_of(spark.createDataFrame([("b",), ("a",), ("c",)], "x string")).collect()}
+    assert pairs == {("a", "b"), ("a", "c"), ("b", "c")}
     assert {k: n for k, n in got(itemsets.fpgrowth_itemsets(b, 0.1)).items() if len(k) <= 3} == want
     assert itemsets.frequent_itemsets(b.limit(0), 0.1).count() == 0
     assert {r.basket for r in itemsets.baskets(df, "g", "i", 3).collect()} == {g for g, s in sets.items() if len(s) > 3}
@@ -65,8 +75,14 @@ def test_similarity(spark, rows):
     banded = {(x, y): jaccard(x, y) for x, y in combinations(sorted(sets), 2) if any(want[x][i : i + 2] == want[y][i : i + 2] for i in range(0, 30, 2))}
     got = {(r.record_1, r.record_2): r.similarity for r in similarity.lsh_pairs(df, "b", "u").collect()}
     assert got == pytest.approx({k: j for k, j in banded.items() if j >= 0.5})
-    shared = {(r[0], r[1]): r[2] for r in similarity.pairs_sharing(df, "b", "u", 3).collect()}
-    assert shared == {(x, y): len(sets[x] & sets[y]) for x, y in combinations(sorted(sets), 2) if len(sets[x] & sets[y]) >= 3}
+    for least in (1, 2, 3, 5):
+        shared = {(r[0], r[1]): r[2] for r in similarity.pairs_sharing(df, "b", "u", least).collect()}
+        assert shared == {(x, y): len(sets[x] & sets[y]) for x, y in combinations(sorted(sets), 2) if len(sets[x] & sets[y]) >= least}
+    for t in (0.2, 0.5, 0.8):
+        close = {(r.record_1, r.record_2): r.similarity for r in similarity.similar_pairs(df, "b", "u", t).collect()}
+        assert close == pytest.approx({(x, y): jaccard(x, y) for x, y in combinations(sorted(sets), 2) if jaccard(x, y) >= t})
+    lines = [r.value for r in writers.pair_lines(similarity.similar_pairs(df, "b", "u", 0.2)).collect()]
+    assert lines[0] == "business_id_1,business_id_2,similarity" and lines[1:] == sorted(lines[1:]) and len(lines) > 3
 
 
 def paths_from(near, root):
@@ -139,8 +155,10 @@ def test_bloom_equals_the_sequential_program(spark):
     users, df = events(spark)
     want = bloom_program(users, 100, 211)
     assert {r.batch: [r.n_false, r.n_new] for r in sketches.bloom_rates(df, F.col("user_id"), 100, bits=211).collect()} == want and sum(x[0] for x in want.values()) > 5
-    streamed = micro.bloom_rates_of(micro.drained(micro.stream_bloom(micro.as_stream(df), F.col("user_id"), 100, bits=211), "append"))
+    streamed = micro.bloom_rates_of(micro.stream_bloom(micro.as_stream(df), F.col("user_id"), 100, bits=211))
     assert {r.batch: [r.n_false, r.n_new] for r in streamed.collect()} == want
+    counters = sketches.filter_counters(sketches.bloom_rates(df, F.col("user_id"), 100, bits=211), df, 100).collect()
+    assert {r.batch: [r.false_positive, r.false_positive + r.true_negative] for r in counters} == want and sum(r.true_positive + r.false_positive + r.true_negative + r.false_negative for r in counters) == len(users)
 
 
 def test_distinct_estimates(spark):

@@ -1,4 +1,4 @@
-"""What the queries left out before."""
+"""Sizes, rounds and features that the queries once cut."""
 
 import inspect
 import random
@@ -8,7 +8,6 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import overlap, packing
 from lodestone.operators import features, graph, itemsets, learning, nested
 from lodestone.plans import mining
 
@@ -82,24 +81,6 @@ def test_many_member_names_give_tables_for_all(spark):
     assert all((r.record_id, r.parent_path) in keys or r.parent_path in ("", None) for r in few.collect())
 
 
-def test_pools_follow_the_rests(spark):
-    texts = ["a b " * 60] * 20 + ["a b"] * 12  # most tokens lie in full pieces
-    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    sizes = {r.doc_id: r.n_tokens for r in packing.token_sizes(df, "doc_id", "text").collect()}
-    rests = sum(n % 8 for n in sizes.values())
-    out = packing.containers(df, capacity=8, pool_bins=rests).collect()
-    assert sum(r.n_tokens for r in out) == sum(sizes.values()) > 8 * rests
-    assert len({r.container_id // 10_000_000 for r in out if r.container_id >= 0}) == 1
-
-
-def test_short_ids_with_two_slips(spark):
-    ids, train = ["abcde", "abcdef"], ["xbcdy", "abcd", "bcdef", "axcdyf", "bacdfe", "abcdefgh", "aXbcdYef", "zzzdef"]
-    e = spark.createDataFrame([(i, "u" * 9, x) for i, x in enumerate(ids)], "rating_id long, user_id string, business_id string").withColumns({"split_name": F.lit("v"), "rating_source": F.lit("s")})
-    t = spark.createDataFrame([(i, "u" * 9, x) for i, x in enumerate(train)], "rating_id long, user_id string, business_id string")
-    want = {(i, j) for i, x in enumerate(ids) for j, y in enumerate(train) if overlap.slips_between(x, y.lower()) is not None}
-    assert {(r.eval_rating_id, r.train_rating_id) for r in overlap.split_overlaps(t, e).collect()} == want
-
-
 def test_bloom_over_more_ids_than_the_fold_has(spark, tmp_path):
     spark.range(40_000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.lit("x").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
     new = mining.QUERIES["bloom_fpr_ids"](spark, str(tmp_path)).agg(F.sum("n_new"), F.sum("n_false")).first()
