@@ -3,8 +3,10 @@
 Values and names are folded (mis-decoded text, accents, look-alike letters, case, punctuation, spacing, short forms).
 Each name is cut into k + 1 segments with one free character between neighbours, so that k slips leave a segment whole;
 values that are no name's exact fold join it on the segment's text at the places it may have, and levenshtein, with
-one or two neighbour swaps tried beside it, verifies. An anti-join reports what means no name. The work is done once
-per distinct value.
+one or two neighbour swaps tried beside it, verifies. Names under eight letters, whose segments would be single letters
+that many values have, meet by what is left of them without two letters. An anti-join reports what means no name. The
+work is done once per distinct value. Short forms of words and words around a name are parameters; the lists given here
+are English ones.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.shuffle import salted_join, spread, stage
 
 SLIPS = 2
+#: Names of fewer letters are not cut.
+SHORT = 8
 #: Common short forms of words in place names.
 SHORT_FORMS = {
     "mt": "mount", "mnt": "mount", "st": "saint", "ste": "saint", "ft": "fort", "frt": "fort", "pt": "port", "prt": "port",
@@ -70,9 +74,9 @@ def folded(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", " "))
 
 
-def _words(c: Column) -> Column:
+def _words(c: Column, short_forms: dict[str, str]) -> Column:
     """The folded words, short forms spelled out."""
-    full = F.create_map(*[F.lit(x) for pair in SHORT_FORMS.items() for x in pair])
+    full = F.create_map(*[F.lit(x) for pair in short_forms.items() for x in pair]) if short_forms else F.create_map().cast("map<string,string>")
     return F.transform(F.split(folded(c), " "), lambda w: F.coalesce(F.try_element_at(full, w), w))
 
 
@@ -87,11 +91,11 @@ def _turns(words: Column, longest: Column) -> Column:
     return F.when(~fits, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _joined(F.concat(F.slice(words, i, n), F.slice(words, F.lit(1), i - 1)))))
 
 
-def _forms(c: Column, regions: Column, longest: Column) -> Column:
+def _forms(c: Column, regions: Column, longest: Column, short_forms: dict[str, str], around: list[str]) -> Column:
     """Spaceless spellings to look for: all words, then without region codes, then also without the words around."""
-    words = _words(c)
+    words = _words(c, short_forms)
     placed = F.filter(words, lambda w: ~F.array_contains(regions, w))
-    bare = F.filter(placed, lambda w: ~w.isin(AROUND))
+    bare = F.filter(placed, lambda w: ~w.isin(around))
     return F.filter(F.array_distinct(F.concat(_turns(words, longest), _turns(placed, longest), _turns(bare, longest))), lambda f: f != "")
 
 
@@ -103,6 +107,13 @@ def _segments(n: Column) -> Column:
     return F.array(one(0, F.lit(1), a), one(1, a + 2, b), one(2, a + b + 3, n - a - b - 2))
 
 
+def _shortened(c: Column) -> Column:
+    """A text and what is left of it without one or two letters; texts two slips apart share one of these."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = without(c)
+    return F.array_distinct(F.concat(F.array(c), one, F.flatten(F.transform(one, without))))
+
+
 def _swapped(c: Column) -> Column:
     """c with each two neighbours swapped, once each."""
     n = F.length(c)
@@ -119,39 +130,43 @@ def slips(a: Column, b: Column) -> Column:
     return F.when(lev < 0, None).when(lev <= 1, lev).when((lev == 2) & swap(), 1).when(lev == 2, 2).when(two, 2)
 
 
-def name_matches(values: DataFrame, names: DataFrame, value: str, name: str, name_id: str, region: str | None = None) -> DataFrame:
+def name_matches(values: DataFrame, names: DataFrame, value: str, name: str, name_id: str, region: str | None = None, short_forms: dict[str, str] = SHORT_FORMS, around: list[str] = AROUND) -> DataFrame:
     """value, name_id, slips: the nearest name of each distinct value that means one, ties to the smaller id.
 
     Null and blank values and names are no cases. names is a reference list: its region codes are gathered as one array.
     """
     v = values.select(F.col(value).alias("value")).where(folded(F.col(value)) != "").distinct()
-    ref = names.select(F.col(name_id).alias("name_id"), _joined(_words(F.col(name))).alias("full")).where(F.col("full") != "")
+    ref = names.select(F.col(name_id).alias("name_id"), _joined(_words(F.col(name), short_forms)).alias("full")).where(F.col("full") != "")
     regions = names.agg(F.collect_set(F.lower(region))).scalar() if region else F.array().cast("array<string>")
     known = v.withColumn("regions", regions).withColumn("longest", ref.agg(F.coalesce(F.max(F.length("full")), F.lit(0))).scalar())
     # Few bytes but long work: in as many tasks as there are cores, and once for the exact and the near matches.
-    forms = stage(spread(known, "value").select("value", F.explode(_forms(F.col("value"), F.col("regions"), F.col("longest"))).alias("form")))
+    forms = stage(spread(known, "value").select("value", F.explode(_forms(F.col("value"), F.col("regions"), F.col("longest"), short_forms, around)).alias("form")))
     exact = forms.join(ref, forms["form"] == ref["full"]).select("value", "name_id", F.lit(0).alias("slips"))
     rest = forms.join(exact.select("value").distinct(), "value", "left_anti")
-    cut = ref.select("name_id", "full", F.length("full").alias("n"), F.explode(_segments(F.length("full"))).alias("s")).select("name_id", "full", "n", "s.seg", F.substring(F.col("full"), F.col("s.at"), F.col("s.len")).alias("part"))
+    long_names = ref.where(F.length("full") >= SHORT)
+    cut = long_names.select("name_id", "full", F.length("full").alias("n"), F.explode(_segments(F.length("full"))).alias("s")).select("name_id", "full", "n", "s.seg", F.substring(F.col("full"), F.col("s.at"), F.col("s.len")).alias("part"))
     m = F.length("form")
-    sized = rest.select("value", "form", F.explode(F.sequence(F.greatest(m - SLIPS, F.lit(1)), m + SLIPS)).alias("n"))
+    sized = rest.where(m >= SHORT - SLIPS).select("value", "form", F.explode(F.sequence(F.greatest(m - SLIPS, F.lit(SHORT)), m + SLIPS)).alias("n"))
     placed = sized.select("value", "form", "n", F.explode(_segments(F.col("n"))).alias("s"), F.sequence(F.lit(-SLIPS), F.lit(SLIPS)).alias("by"))
     parts = F.array_distinct(F.transform("by", lambda k: F.when(F.col("s.at") + k >= 1, F.substring(F.col("form"), F.col("s.at") + k, F.col("s.len")))))
     probes = placed.select("value", "form", "n", "s.seg", "s.len", F.explode(parts).alias("part")).where(F.length("part") == F.col("len"))
-    near = probes.join(cut, ["n", "seg", "part"]).select("value", "form", "name_id", "full").distinct()
+    met = probes.join(cut, ["n", "seg", "part"]).select("value", "form", "name_id", "full")
+    rests = ref.where(F.length("full") < SHORT).select("name_id", "full", F.explode(_shortened(F.col("full"))).alias("left"))
+    met = met.unionByName(rest.where(m < SHORT + SLIPS).select("value", "form", F.explode(_shortened(F.col("form"))).alias("left")).join(rests, "left").select("value", "form", "name_id", "full"))
+    near = spread(met, "value", "form", "name_id", "full").distinct()
     fuzzy = near.withColumn("slips", slips(F.col("form"), F.col("full"))).where(F.col("slips").isNotNull())
     every = exact.unionByName(fuzzy.select("value", "name_id", "slips"))
     best = every.groupBy("value").agg(F.min(F.struct("slips", "name_id")).alias("m"))
     return best.select("value", "m.name_id", "m.slips")
 
 
-def map_to_names(records: DataFrame, record_id: str, value: str, names: DataFrame, name: str, name_id: str, region: str | None = None) -> DataFrame:
+def map_to_names(records: DataFrame, record_id: str, value: str, names: DataFrame, name: str, name_id: str, region: str | None = None, **lists) -> DataFrame:
     """record_id, value, name_id, slips for records whose value is neither null nor blank; name_id is -1 for no name.
 
     Repeated records stay; a value of marks only is no name; an empty list of names gives -1 for all.
     """
     rows = records.select(F.col(record_id).alias("record_id"), F.col(value).alias("value")).where(F.regexp_replace("value", "[\\s\\x{a0}]+", "") != "")
-    found = name_matches(rows, names, "value", name, name_id, region)
+    found = stage(name_matches(rows, names, "value", name, name_id, region, **lists))
     matched = salted_join(rows, found, ["value"])
     unmatched = rows.join(found.select("value"), "value", "left_anti").select("record_id", "value", F.lit(-1).cast("long").alias("name_id"), F.lit(None).cast("int").alias("slips"))
     return matched.select("record_id", "value", F.col("name_id").cast("long"), F.col("slips").cast("int")).unionByName(unmatched)
