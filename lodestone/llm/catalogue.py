@@ -63,6 +63,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(load(spark, d, "documents").select("doc_id", "text"))
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p8_containers(spark, d)).withColumn("unused_share", F.round("unused_share", 6))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "eval_items"))
 
@@ -98,11 +103,24 @@ q AS (SELECT item_1, item_2, n12, x.k AS n1, y.k AS n2, n FROM p JOIN c x ON x.i
 _TERM = "(CASE WHEN {0} > 0 THEN ({0}) * ln(({0}) / ({1})) ELSE 0 END)"
 _LLR = "2 * (" + " + ".join(_TERM.format(*x) for x in [("n12", "n1 * n2 / n"), ("n1 - n12", "n1 * (n - n2) / n"), ("n2 - n12", "(n - n1) * n2 / n"), ("n - n1 - n2 + n12", "(n - n1) * (n - n2) / n")]) + ")"
 def _sql_fold(c: str) -> str:
-    """The folded words of a text column, step for step as in canonical.folded."""
-    t = f"regexp_replace(regexp_replace({c}, '[Ãã](?:ƒ|\\x{{83}})[Ââ]?', 'Ã', 'g'), '[Ââ]([\\x{{80}}-\\x{{bf}}])', '\\1', 'g')"
-    for base, letters in canonical._MISREAD.items():
-        t = f"regexp_replace({t}, '[Ãã]{canonical._misread(letters)}', '{base}', 'g')"
-    t = f"translate(lower(regexp_replace({t}, '[\\p{{M}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}''’`´]', '', 'g')), '{canonical._FOUND}', '{canonical._BASE}')"
+    """The words of a text column in plain letters: mis-decoded letters by replacement, accents by strip_accents. The lists of short forms are the operator's parameters."""
+    t = c
+    for rounds in (2, 1):
+        for letter in map(chr, [*range(0xC0, 0x100), 0x160, 0x161, 0x17D, 0x17E]):
+            for code in ("cp1252", "latin-1"):
+                try:
+                    bad = letter
+                    for _ in range(rounds):
+                        bad = bad.encode().decode(code)
+                except UnicodeDecodeError:
+                    continue
+                t = f"replace({t}, '{bad}', '{letter}')" if "'" not in bad else t
+    wide = {chr(0xFF21 + k): chr(0x61 + k) for k in range(26)} | {chr(0xFF41 + k): chr(0x61 + k) for k in range(26)} | {chr(0xFF10 + k): str(k) for k in range(10)}
+    alike = wide | canonical.LOOKALIKES | {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ð": "d"}
+    t = f"lower({t})"
+    t = f"translate({t}, '{''.join(alike)}', '{''.join(alike.values())}')"
+    t = f"strip_accents({t})"
+    t = f"regexp_replace({t}, '[\\p{{M}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}''’`´]', '', 'g')"
     for many, few in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
         t = f"replace({t}, '{many}', '{few}')"
     short = ", ".join(f"'{k}': '{v}'" for k, v in canonical.SHORT_FORMS.items())
@@ -133,7 +151,7 @@ SELECT doc_id, length(text) AS n_chars, CAST(n_words AS BIGINT) AS n_words,
 
 QUERIES = {
     "p2_found": p2_found, "p2_report": p2_report, "p2_records": p2_records, "p3_found": p3_found, "p3_cooccurrence": p3_cooccurrence, "p4_found": p4_found, "p4_unmatched": p4_unmatched,
-    "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_statistics": p10_statistics,
+    "p7_found": p7_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 ORACLES = {
     "p2_found": _P2 + "SELECT split_name, train_rating_id, eval_rating_id FROM p",

@@ -18,26 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.shuffle import on_all_cores, spread, stage
+from lodestone.operators.sketches import numbered
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE vocabularies of this kind split text with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_counter(path: str = TOKENIZER):
-    """A function from texts to token counts; null has none. Special tokens' strings are ordinary text."""
+def token_counter(vocabulary: bytes):
+    """A function from texts to token counts, for the bytes of a vocabulary file; null has none. Special tokens' strings are ordinary text."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x.strip())}
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda texts: [0 if t is None else len(own.encode_ordinary(t)) for t in texts]
 
 
 def token_sizes(df: DataFrame, doc_id: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens; null and empty texts have none, rows with a null doc_id are left out."""
+    """doc_id, n_tokens; null and empty texts have none, rows with a null doc_id are left out.
+
+    The vocabulary file, of a megabyte or so, is read where the query is made and sent along.
+    """
+    held = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = token_counter(path)
+        counter = token_counter(held.value)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": counter(b["text"])})
 
@@ -127,12 +132,13 @@ def containers(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
     cut = cut.select("doc_id", "row_no", "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("long"), F.col("all") - start).alias("n_tokens"))
     full = cut.where(F.col("n_tokens") == capacity)
     rest = cut.where(F.col("n_tokens") < capacity).withColumn("pool", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(pools)))
-    # Pools have ids from 0; the containers of full pieces have negative ones.
-    alone = full.select((-1 - F.pmod(F.xxhash64("doc_id", "row_no", "piece"), F.lit(2**62))).alias("container_id"), "doc_id", "piece", "token_start", "n_tokens")
+    # Pools have ids from 0; the containers of full pieces are numbered from -1 down.
+    alone = numbered(full, "row_no", "piece").select((-1 - F.col("seq")).alias("container_id"), "doc_id", "piece", "token_start", "n_tokens")
     return spread(rest, "pool").groupBy("pool").applyInPandas(_pack(capacity), _PLACED).unionByName(alone)
 
 
 def fill_report(placed: DataFrame, capacity: int = 2_048) -> DataFrame:
-    """Containers, tokens and the share of unused space, in one row."""
+    """One row: containers, the fewest that could hold the tokens, tokens, the fullest container, and the share of unused space."""
     each = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
-    return each.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), (1 - F.sum("n") / (F.count("*") * capacity)).alias("unused_share"))
+    total = each.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    return total.select("n_containers", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"), "n_tokens", "fullest", (1 - F.col("n_tokens") / (F.col("n_containers") * capacity)).alias("unused_share"))

@@ -163,4 +163,6 @@ def test_containers(spark):
     assert sum(r.doc_id == 7 for r in out) == 2
     assert packing.containers(df.limit(0)).count() == 0
     report = packing.fill_report(packing.containers(df.where(F.col("doc_id") < 300))).first()
-    assert report.unused_share < 0.1
+    assert report.unused_share < 0.1 and report.n_containers >= report.least_containers and report.fullest <= 2_048
+    alone = [r.container_id for r in packing.containers(df, capacity=16, pool_bins=4).collect() if r.n_tokens == 16 and r.container_id < 0]
+    assert len(alone) == len(set(alone)) > 300 and sorted(alone) == [*range(-len(alone), 0)]
