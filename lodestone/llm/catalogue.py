@@ -138,6 +138,18 @@ z AS (SELECT business_id, business.city, coalesce(city_id, -1) AS city_id FROM b
 _P7 = """WITH d AS (SELECT DISTINCT business_id AS b, user_id AS u FROM yelp_train WHERE business_id IS NOT NULL AND user_id IS NOT NULL),
 c AS (SELECT b, count(*) AS k FROM d GROUP BY b), p AS (SELECT x.b AS b1, y.b AS b2, count(*) AS m FROM d x JOIN d y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2)
 SELECT b1 AS business_id_1, b2 AS business_id_2 FROM p JOIN c x ON x.b = b1 JOIN c y ON y.b = b2 WHERE 2 * m >= x.k + y.k - m"""
+#: Every item's words as single characters, so that edit distances of words are those of texts; tried are all item windows and document stretches near a shared run of three words.
+_P9 = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>|&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]{1,6};', ' ', 'g')), '[\p{M}\x{ad}\x{200b}]', '', 'g'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+codes AS (SELECT item_id, map_from_entries(list((x, chr(CAST(k AS INTEGER))))) AS m FROM (SELECT item_id, x, row_number() OVER (PARTITION BY item_id ORDER BY x) AS k FROM (SELECT DISTINCT item_id, unnest(w) AS x FROM iw)) GROUP BY item_id),
+it AS (SELECT item_id, unnest(range(1, len(w) - 1)) AS i, w FROM iw), ig AS (SELECT item_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM it),
+dt AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS j, w FROM dw), dg AS (SELECT doc_id, j, w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] AS g FROM dt),
+met AS (SELECT doc_id, item_id, i, j FROM dg JOIN ig USING (g)),
+pairs AS (SELECT doc_id, item_id FROM met GROUP BY ALL HAVING count(DISTINCT j) >= 4),
+coded AS (SELECT doc_id, item_id, array_to_string(list_transform(dw.w, lambda x: coalesce(m[x], chr(127))), '') AS d, array_to_string(list_transform(iw.w, lambda x: m[x]), '') AS t FROM pairs JOIN dw USING (doc_id) JOIN iw USING (item_id) JOIN codes USING (item_id)),
+starts AS (SELECT DISTINCT doc_id, item_id, i - a AS s, j - i AS g FROM (SELECT doc_id, item_id, i, j, unnest(range(0, 13)) AS a FROM met SEMI JOIN pairs USING (doc_id, item_id)) WHERE i > a),
+tries AS (SELECT doc_id, item_id, s, s + g + o AS x, n FROM starts, range(-3, 4) r1(o), range(12, 19) r2(n) WHERE s + g + o >= 1)
+SELECT DISTINCT doc_id, item_id FROM tries JOIN coded USING (doc_id, item_id) WHERE s + 14 <= length(t) AND levenshtein(substr(t, s, 15), substr(d, x, n)) <= 3"""
 _COMMON = ", ".join(f"'{w}'" for w in textstats.COMMON)
 _P10 = rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 m AS (SELECT doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS letters, len(list_filter(w, lambda x: x IN ({_COMMON}))) AS common,
@@ -167,5 +179,7 @@ FROM p JOIN e ON e.split_name = p.split_name AND e.rating_id = p.eval_rating_id
     "p4_found": _P4 + "SELECT business_id, city_id FROM z",
     "p4_unmatched": _P4 + "SELECT city, count(*) AS n_businesses FROM z WHERE city_id = -1 GROUP BY city",
     "p7_found": _P7,
+    "p9_found": _P9,
+    "p9_report": f"SELECT item_id, suite, count(doc_id) AS n_docs FROM eval_items LEFT JOIN ({_P9}) USING (item_id) GROUP BY ALL",
     "p10_statistics": _P10,
 }
