@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import spread, stage
+from lodestone.functions.shuffle import is_small, spread, stage
 from lodestone.operators.similarity import pairs_sharing
 
 
@@ -58,14 +59,14 @@ def credits_from(root, near: dict) -> dict:
     return carried
 
 
-def edge_betweenness(edges: DataFrame, broadcast_edges: int = 500_000) -> DataFrame:
+def edge_betweenness(edges: DataFrame, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """src < dst, betweenness: shortest paths between pairs of vertices that use the edge, shared among equal ones.
 
-    With at most broadcast_edges edges each task holds the graph and walks from its share of the vertices; beyond
-    that the walks are made of joins, see betweenness_by_joins.
+    A graph of at most broadcast_bytes is held by each task, which walks from its share of the vertices; for a larger
+    one the walks are made of joins, see betweenness_by_joins.
     """
     links = stage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where(F.col("src") < F.col("dst")).distinct())
-    if links.count() > broadcast_edges:
+    if not is_small(links, broadcast_bytes):
         return betweenness_by_joins(links)
     near: dict = {}
     for r in links.collect():
@@ -87,10 +88,23 @@ def edge_betweenness(edges: DataFrame, broadcast_edges: int = 500_000) -> DataFr
     return parts.groupBy("src", "dst").agg((F.sum("carried") / 2).alias("betweenness"))
 
 
-def betweenness_by_joins(edges: DataFrame) -> DataFrame:
-    """The same from all vertices at once: a level of the walks is a join of the frontier with the edges."""
+def betweenness_by_joins(edges: DataFrame, rows_at_once: int = 1_000_000_000) -> DataFrame:
+    """The same by walks from many vertices at once: a level of the walks is a join of the frontier with the edges.
+
+    The walks hold vertices times edges rows at worst, so they start from a part of the vertices at a time, of so many
+    that these are about rows_at_once. A level's joins go on until there is no further level.
+    """
     links = stage(both_ways(edges).distinct())
-    levels = [stage(links.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("v"), F.lit(1.0).alias("paths")))]
+    vertices = stage(links.select(F.col("src").alias("root")).distinct())
+    parts = max(1, math.ceil(vertices.count() * links.count() / rows_at_once))
+    part = F.pmod(F.xxhash64("root"), F.lit(parts))
+    sums = [stage(_carried(links, vertices.where(part == k))) for k in range(parts)]
+    return reduce(DataFrame.unionByName, sums).groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness"))
+
+
+def _carried(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """src < dst, part: what the edges carry of the shortest paths from some roots."""
+    levels = [stage(roots.select("root", F.col("root").alias("v"), F.lit(1.0).alias("paths")))]
     while True:  # a neighbour of a level lies in that level, the one before or the next
         step = levels[-1].join(links, levels[-1]["v"] == links["src"]).select("root", F.col("dst").alias("v"), "paths")
         new = step.groupBy("root", "v").agg(F.sum("paths").alias("paths"))
@@ -101,7 +115,8 @@ def betweenness_by_joins(edges: DataFrame) -> DataFrame:
             break
         levels.append(new)
     credit = levels[-1].select("root", "v", F.lit(1.0).alias("credit"))
-    carried = []
+    kind = links.schema["src"].dataType.simpleString()
+    carried = [links.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, part double")]
     for depth in range(len(levels) - 1, 0, -1):
         low = levels[depth].join(credit, ["root", "v"]).select("root", F.col("v").alias("w"), F.col("paths").alias("pw"), "credit")
         high = levels[depth - 1].select("root", "v", F.col("paths").alias("pv"))
@@ -112,6 +127,4 @@ def betweenness_by_joins(edges: DataFrame) -> DataFrame:
             carried = [stage(reduce(DataFrame.unionByName, carried).groupBy("src", "dst").agg(F.sum("part").alias("part")))]
         got = used.groupBy("root", "v").agg(F.sum("part").alias("got"))
         credit = stage(high.join(got, ["root", "v"], "left").select("root", "v", (1 + F.coalesce("got", F.lit(0.0))).alias("credit")))
-    if not carried:
-        return edges.select("src", "dst", F.lit(0.0).alias("betweenness")).limit(0)
-    return reduce(DataFrame.unionByName, carried).groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness"))
+    return reduce(DataFrame.unionByName, carried).groupBy("src", "dst").agg(F.sum("part").alias("part"))

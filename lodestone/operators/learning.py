@@ -13,13 +13,28 @@ SIMPLE = ("u_count", "u_avg", "b_count", "b_avg", "u_useful")
 INDEXED = ("user_idx", "business_idx", *SIMPLE)
 
 
+#: Rows a task of a fit works on; a fit is many short jobs, and tasks of fewer rows are a burden.
+ROWS_A_TASK = 5_000
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df in memory, in as many partitions as its rows make tasks; unpersist it when the fits are done."""
+    rows = df.persist()
+    few = rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK))).persist()
+    few.count()
+    rows.unpersist()
+    return few
+
+
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
 def boosted(train: DataFrame, test: DataFrame, columns: list[str], trees: int = 100, depth: int = 5, step: float = 0.1) -> DataFrame:
     """test with a prediction by boosted trees fitted to train's stars."""
-    model = GBTRegressor(labelCol="stars", maxIter=trees, maxDepth=depth, stepSize=step, seed=42).fit(assembled(train, columns))
+    rows = held(assembled(train, columns).select("stars", "features"))
+    model = GBTRegressor(labelCol="stars", maxIter=trees, maxDepth=depth, stepSize=step, seed=42, maxMemoryInMB=512).fit(rows)
+    rows.unpersist()
     return model.transform(assembled(test, columns)).drop("features")
 
 
@@ -28,13 +43,12 @@ def stacked(train: DataFrame, test: DataFrame, columns: list[str], key: list[str
 
     Each base model is fitted once per fold on the other folds and predicts the fold left out; the linear model learns
     from these predictions. On test a base model's prediction is the mean over folds. Folds go by a hash of the key.
-    The fits run at once over one table of binned features kept in memory until they are done.
+    The fits run at once over one table kept in memory until they are done.
     """
-    rows = assembled(train, columns).withColumn("fold", F.pmod(F.xxhash64(*key, F.lit(42)), F.lit(folds))).select(*key, "stars", "features", "fold").persist()
+    rows = held(assembled(train, columns).withColumn("fold", F.pmod(F.xxhash64(*key, F.lit(42)), F.lit(folds))).select(*key, "stars", "features", "fold"))
     want = assembled(test, columns).select(*key, "features")
     left_out, on_test = None, want
-    # Ids of nodes kept with the rows spare each new tree the walk through all the trees before it.
-    kept = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 512, "seed": 42, "labelCol": "stars"}
+    kept = {"maxMemoryInMB": 512, "seed": 42, "labelCol": "stars"}
     makers = [lambda: GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, **kept), lambda: RandomForestRegressor(numTrees=forest, maxDepth=6, **kept)]
     fit = lambda k: makers[k[1]]().setPredictionCol(f"p{k[1]}").fit(rows.where(F.col("fold") != k[0]))
     keys = [(fold, i) for fold in range(folds) for i in range(len(makers))]

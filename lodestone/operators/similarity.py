@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.functions.shuffle import stage
+from lodestone.functions.shuffle import partitions, stage
 
 PRIME = 2_147_483_647
 
@@ -23,7 +23,7 @@ def ordinals(df: DataFrame, key: str) -> DataFrame:
     Keys are range-partitioned and numbered within their range; a range's offset is the count of the ranges before.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    n = max(1, keys.sparkSession.sparkContext.defaultParallelism)
+    n = max(partitions(keys.sparkSession), keys.sparkSession.sparkContext.defaultParallelism)
     ranged = stage(keys.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("k"))
     before = sizes.select("_p", (F.sum("k").over(Window.orderBy("_p")) - F.col("k")).alias("before"))  # one row a range

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.functions.shuffle import stage
+from lodestone.functions.shuffle import partitions, stage
 
 #: Fixed values of the two sketches: primes, bits of the filter, range of the counting hashes.
 BLOOM_PRIME, BLOOM_BITS, BLOOM_HASHES = 999_331, 69_997, 3
@@ -29,7 +29,7 @@ def parameters(n: int, top: int) -> list[tuple[int, int]]:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with seq, 0, 1, ... in the order given, which must be total; ranges are numbered in parallel."""
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    n = max(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     ranged = stage(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("k"))
     before = sizes.select("_p", (F.sum("k").over(Window.orderBy("_p")) - F.col("k")).alias("before"))  # one row a range

@@ -52,6 +52,11 @@ def explore_partition_counts(s: SparkSession, d: str) -> DataFrame:
     return exploration.partition_report(_reviews(s, d).select("business_id"), "business_id", 8)
 
 
+def explore_partition_totals(s: SparkSession, d: str) -> DataFrame:
+    """The items over all partitions of each layout."""
+    return explore_partition_counts(s, d).groupBy("layout").agg(F.sum("n_items").alias("n_items"))
+
+
 def explore_document(s: SparkSession, d: str) -> DataFrame:
     """The exploration's counts as one JSON text."""
     return writers.json_document(explore_counts(s, d))
@@ -502,6 +507,7 @@ ORACLES = {
     "explore_top10_business": "SELECT business_id, count(*) AS n FROM review GROUP BY 1 ORDER BY n DESC, business_id NULLS LAST LIMIT 10",
     "explore_city_avg": "SELECT city, round(avg(review.stars), 6) AS avg_stars FROM review LEFT JOIN business USING (business_id) GROUP BY city",
     "explore_top10_cities": "SELECT city, round(avg(review.stars), 6) AS avg_stars FROM review LEFT JOIN business USING (business_id) GROUP BY city ORDER BY avg_stars DESC, city NULLS LAST LIMIT 10",
+    "explore_partition_totals": "SELECT 'default' AS layout, count(*) AS n_items FROM review UNION ALL SELECT 'customized', count(*) FROM review",
     "explore_top10_cities_driver": "SELECT city, round(avg(review.stars), 6) AS avg_stars FROM review LEFT JOIN business USING (business_id) GROUP BY city ORDER BY avg_stars DESC, city NULLS LAST LIMIT 10",
     "explore_document": """SELECT '{"n_review":' || count(*) || ',"n_review_year":' || count(*) FILTER (WHERE contains(review_date, '2018')) || ',"n_user":' || (SELECT count(*) FROM (SELECT DISTINCT user_id FROM review)) || ',"n_business":' || (SELECT count(*) FROM (SELECT DISTINCT business_id FROM review)) || '}' AS value FROM review""",
     "csv_round_trip": "SELECT user_id, business_id, stars FROM yelp_train",

@@ -113,7 +113,7 @@ def test_betweenness(spark, edges):
     total = sum(d for v in near for d in paths_from(near, v).values()) / 2
     assert sum(got.values()) == pytest.approx(total) and {*got} == {*edges}
     if len(edges) < 6:
-        assert {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(df, broadcast_edges=0).collect()} == pytest.approx(got)
+        assert {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(df, broadcast_bytes=0).collect()} == pytest.approx(got)
 
 
 def test_label_propagation(spark):

@@ -1,6 +1,5 @@
 """Sizes, rounds and features that the queries once cut."""
 
-import inspect
 import random
 from collections import Counter
 from itertools import combinations
@@ -64,11 +63,14 @@ def test_indices_of_users_and_businesses(spark):
 
 
 def test_walks_made_of_joins_have_no_level_cap(spark):
-    assert [*inspect.signature(graph.betweenness_by_joins).parameters] == ["edges"]
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "d"), ("e", "f")]
     df = spark.createDataFrame(edges, "src string, dst string")
     got = lambda **x: {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(df, **x).collect()}
-    assert got(broadcast_edges=0) == pytest.approx(got())
+    assert got(broadcast_bytes=0) == pytest.approx(got())
+    in_parts = {(r.src, r.dst): r.betweenness for r in graph.betweenness_by_joins(df, rows_at_once=30).collect()}
+    assert in_parts == pytest.approx(got())
+    path = spark.createDataFrame([(f"p{k}", f"p{k + 1}") for k in range(7)], "src string, dst string")
+    assert {r.src: r.betweenness for r in graph.betweenness_by_joins(path).collect()} == {f"p{k}": (k + 1) * (7 - k) for k in range(7)}
 
 
 def test_many_member_names_give_tables_for_all(spark):
