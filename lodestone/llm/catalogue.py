@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.shuffle import stage
 from lodestone.llm import canonical, cooccurrence, leaks, overlap, packing, similarsets, textstats
 from lodestone.sources.tables import load
 
@@ -68,6 +69,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d)).withColumn("unused_share", F.round("unused_share", 6))
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document whether its pieces follow each other from token 0 on, and whether any container of it is overfull."""
+    placed = packing.containers(load(spark, d, "documents").select("doc_id", "text"))
+    placed = stage(placed)
+    over = placed.groupBy("container_id").agg((F.sum("n_tokens") > 2_048).alias("over"))
+    pieces = placed.join(over, "container_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "token_start", "n_tokens"))).alias("p"), F.max("over").alias("overfull"))
+    gapless = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda k: (F.get("p", k)["piece"] == k) & (F.get("p", k)["token_start"] == F.coalesce(F.get("p", k - 1)["token_start"] + F.get("p", k - 1)["n_tokens"], F.lit(0))))
+    return pieces.select("doc_id", gapless.alias("gapless"), "overfull")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "eval_items"))
 
@@ -163,7 +174,7 @@ SELECT doc_id, length(text) AS n_chars, CAST(n_words AS BIGINT) AS n_words,
 
 QUERIES = {
     "p2_found": p2_found, "p2_report": p2_report, "p2_records": p2_records, "p3_found": p3_found, "p3_cooccurrence": p3_cooccurrence, "p4_found": p4_found, "p4_unmatched": p4_unmatched,
-    "p7_found": p7_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_statistics": p10_statistics,
+    "p7_found": p7_found, "p8_containers": p8_containers, "p8_report": p8_report, "p8_placed": p8_placed, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 ORACLES = {
     "p2_found": _P2 + "SELECT split_name, train_rating_id, eval_rating_id FROM p",
@@ -179,6 +190,7 @@ FROM p JOIN e ON e.split_name = p.split_name AND e.rating_id = p.eval_rating_id
     "p4_found": _P4 + "SELECT business_id, city_id FROM z",
     "p4_unmatched": _P4 + "SELECT city, count(*) AS n_businesses FROM z WHERE city_id = -1 GROUP BY city",
     "p7_found": _P7,
+    "p8_placed": "SELECT doc_id, TRUE AS gapless, FALSE AS overfull FROM documents WHERE doc_id IS NOT NULL",
     "p9_found": _P9,
     "p9_report": f"SELECT item_id, suite, count(doc_id) AS n_docs FROM eval_items LEFT JOIN ({_P9}) USING (item_id) GROUP BY ALL",
     "p10_statistics": _P10,
