@@ -41,6 +41,12 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     return rows.drop("twins").withColumn("columns", F.to_json("columns")).withColumnRenamed("record_id", "business_id")
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of the flat tables' rows, and how many columns each row has."""
+    rows = nested.flatten(load(spark, d, "business").select("business_id", "attributes"), "business_id", "attributes")
+    return rows.select(F.col("record_id").alias("business_id"), "table_name", "row_path", "parent_table", "parent_path", "ordinal", F.size("columns").alias("n_columns"))
+
+
 _LATEST = """WITH r AS (SELECT review_id, user_id, business_id, stars FROM review WHERE review_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ingested_at DESC NULLS LAST, user_id DESC NULLS LAST, business_id DESC NULLS LAST, stars DESC NULLS LAST) = 1),
 k AS (SELECT 'business_id' AS field_name, business_id AS key_id, stars FROM r UNION ALL SELECT 'user_id', user_id, stars FROM r) """
@@ -83,19 +89,32 @@ def _sql_read(c: str) -> str:
   ELSE '0' END"""
 
 
-_P6 = f"""WITH RECURSIVE a AS (SELECT business_id, unnest(map_entries(attributes)) AS e FROM business),
-n(business_id, path, v) AS (SELECT business_id, e.key, {_sql_read("e.value")} FROM a WHERE e.value IS NOT NULL
- UNION ALL SELECT business_id, path || s.step, CASE json_type(s.c) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN {_sql_read("(s.c ->> '$')")} ELSE CAST(s.c AS VARCHAR) END
- FROM (SELECT business_id, path, unnest(CASE WHEN v[1] = '{{'
-     THEN list_transform(json_keys(v), lambda k: {{'step': '.' || k, 'c': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))}})
-     ELSE list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {{'step': '[' || i || ']', 'c': json_extract(v, '$[' || i || ']')}}) END) AS s
-   FROM n WHERE v[1] IN ('{{', '[')))
-SELECT DISTINCT business_id, path AS node_path FROM n WHERE v IS NOT NULL"""
-
-QUERIES = {"p1_found": p1_found, "p1_key_averages": p1_key_averages, "p5_found": p5_found, "p6_found": p6_found, "p6_tables": p6_tables}
+#: The nodes: path, value as read, element, the element it is within, place in an array, and (path, element) of it and all above.
+_NODES = f"""WITH RECURSIVE a AS (SELECT business_id, unnest(map_entries(attributes)) AS e FROM business),
+n(business_id, path, v, element, within, place, chain) AS (SELECT business_id, e.key, {_sql_read("e.value")}, e.key, '@record', CAST(NULL AS INTEGER), [{{'p': e.key, 'e': e.key}}] FROM a WHERE e.value IS NOT NULL
+ UNION ALL SELECT business_id, path || s.step, CASE json_type(s.c) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN {_sql_read("(s.c ->> '$')")} ELSE CAST(s.c AS VARCHAR) END,
+   s.name, element, s.place, list_append(chain, {{'p': path || s.step, 'e': s.name}})
+ FROM (SELECT business_id, path, element, chain, unnest(CASE WHEN v[1] = '{{'
+     THEN list_transform(json_keys(v), lambda k: {{'step': '.' || k, 'name': k, 'place': CAST(NULL AS INTEGER), 'c': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))}})
+     ELSE list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {{'step': '[' || i || ']', 'name': element || '[]', 'place': CAST(i AS INTEGER), 'c': json_extract(v, '$[' || i || ']')}}) END) AS s
+   FROM n WHERE v[1] IN ('{{', '['))),
+nodes AS (SELECT * FROM n WHERE v IS NOT NULL) """
+_P6 = _NODES + "SELECT DISTINCT business_id, path AS node_path FROM nodes"
+_P6_LINKS = _NODES + """, graph AS (SELECT DISTINCT within, element FROM nodes),
+reach(x, y) AS (SELECT within, element FROM graph UNION SELECT reach.x, graph.element FROM reach JOIN graph ON graph.within = reach.y),
+tabled AS (SELECT element FROM graph GROUP BY element HAVING element LIKE '%[]' OR count(*) > 1 OR element IN (SELECT x FROM reach WHERE x = y)),
+tl AS (SELECT list(element) AS ts FROM tabled),
+homed AS (SELECT business_id, path, v, element, place, list_contains(ts, element) AS own, list_filter(chain[:-2], lambda c: list_contains(ts, c.e))[-1] AS home FROM nodes, tl),
+inlined AS (SELECT business_id, coalesce(home.p, '') AS row_path, count(*) AS k FROM homed WHERE NOT own GROUP BY 1, 2),
+keyed AS (SELECT business_id, element AS table_name, path AS row_path, coalesce(home.e, '@record') AS parent_table, coalesce(home.p, '') AS parent_path, place AS ordinal, CASE WHEN v[1] IN ('{', '[') THEN 0 ELSE 1 END AS own FROM homed WHERE own
+  UNION ALL SELECT DISTINCT business_id, '@record', '', NULL, NULL, NULL, 0 FROM nodes)
+SELECT business_id, table_name, row_path, parent_table, parent_path, ordinal, CAST(own + coalesce(k, 0) AS INTEGER) AS n_columns FROM keyed LEFT JOIN inlined USING (business_id, row_path)"""
+
+QUERIES = {"p1_found": p1_found, "p1_key_averages": p1_key_averages, "p5_found": p5_found, "p6_found": p6_found, "p6_tables": p6_tables, "p6_links": p6_links}
 ORACLES = {
     "p1_found": _LATEST + "SELECT field_name, key_id FROM k WHERE key_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM r)",
     "p1_key_averages": _LATEST + "SELECT field_name, key_id, count(*) AS n_records, round(CAST(avg(stars) AS DOUBLE), 6) AS avg_value FROM k WHERE key_id IS NOT NULL GROUP BY 1, 2",
     "p5_found": _P5,
     "p6_found": _P6,
+    "p6_links": _P6_LINKS,
 }
