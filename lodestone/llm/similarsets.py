@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.shuffle import salted_join, spread, stage
+from lodestone.functions.shuffle import broadcast_if_small, salted_join, spread, stage
 from lodestone.operators.sketches import numbered
 
 CHECK_BITS = 256
@@ -211,8 +211,8 @@ def similar_classes(df: DataFrame, record: str, element: str, threshold: float,
     width, segments = plan_index(n_classes, threshold, miss)
     k = max(CHECK_BITS, width * segments)
     part_bits = max(0, math.ceil(math.log2(max(1, n_classes / part_sets))))
-    reps = classes.select("cid", "n", F.col("rep").alias("r"))
-    elements = rows.join(reps, "r").select("cid", "n", F.xxhash64("e").alias("x"))
+    reps = classes.select("cid", "n", F.col("rep").alias("r"))  # read from the staged table
+    elements = rows.select("r", F.xxhash64("e").alias("x")).join(broadcast_if_small(reps), "r").select("cid", "n", "x")
     gathered = elements.withColumn("piece", F.pmod("x", F.ceil(F.col("n") / chunk))).groupBy("cid", "n", "piece").agg(F.collect_list("x").alias("hashes"))
     gathered = gathered.select("cid", "n", "hashes")
     pack, whole = _packed_segments(width, segments, k, part_bits), _whole(k)
@@ -225,7 +225,8 @@ def similar_classes(df: DataFrame, record: str, element: str, threshold: float,
     close = stage(hits.distinct())  # a is the smaller set
     # The smaller set's elements are looked up in the larger set.
     wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    held = rows.join(reps.join(wanted, "cid", "left_semi").select("r", "cid"), "r").select("cid", "e")
+    asked = broadcast_if_small(stage(reps.join(wanted, "cid", "left_semi").select("r", "cid")))
+    held = rows.join(asked, "r").select("cid", "e")
     shared = close.join(held.withColumnRenamed("cid", "a"), "a").join(held.withColumnRenamed("cid", "b"), ["b", "e"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
     links = shared.select(F.least("a", "b").alias("class_1"), F.greatest("a", "b").alias("class_2"), (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
     members = salted_join(sets, classes.select("n", "f1", "f2", F.col("cid").alias("class_id")), ["n", "f1", "f2"]).select("r", "class_id")
