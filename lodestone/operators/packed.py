@@ -38,8 +38,11 @@ def skeleton(text: Column, blanks: bool = False) -> Column:
     inside, _ = _parting(blanks)
     bare = F.regexp_replace(t, f"{_QUOTED.format(*_parting(blanks))}|[^{inside}]++", "")
     bare = F.regexp_replace(bare, f"[{_BLANK}]++", " ") if blanks else bare
-    cuts = F.array_join(F.array_sort(F.array_distinct(F.split(bare, ""))), "")
-    return F.when(t.startswith("["), "[").otherwise(F.concat(cuts, F.when(F.contains(t, F.lit('"')), '"').otherwise("")))
+    outside = F.array_join(F.array_sort(F.array_distinct(F.split(bare, ""))), "")
+    # Without quotes what stands outside of them is what the text contains; no masking is needed to tell.
+    marks = sorted(x for x in DELIMITERS if not (blanks and x.isspace()))
+    held = F.concat(*([F.when(t.rlike(f"[{_BLANK}]"), " ").otherwise("")] if blanks else []), *[F.when(F.contains(t, F.lit(x)), x).otherwise("") for x in marks])
+    return F.when(t.startswith("["), "[").when(F.contains(t, F.lit('"')), F.concat(outside, F.lit('"'))).otherwise(held)
 
 
 def splitting_rules(skeletons: DataFrame, blanks: bool = False) -> DataFrame:
@@ -64,9 +67,10 @@ def _unescaped(token: Column) -> Column:
     return F.when(~token.rlike("^[uUbB]?[\"'][\\s\\S]*[\"']$"), token).when(F.contains(bare, F.lit("\\")), read).otherwise(bare)
 
 
-def _unquoted(token: Column) -> Column:
-    t = _strip(token)
-    return F.when(t.rlike('^"[\\s\\S]*"$') & (F.length(t) > 1), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
+def _unquoted(t: Column) -> Column:
+    """A field without its quotes; t has no blanks around."""
+    quoted = t.startswith('"') & t.endswith('"') & (F.length(t) > 1)
+    return F.when(quoted, _strip(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"')))).otherwise(t)
 
 
 def unpack(df: DataFrame, record_id: str, packed: str, nothing: tuple[str, ...] = (), blanks: bool = False) -> DataFrame:
@@ -87,6 +91,7 @@ def unpack(df: DataFrame, record_id: str, packed: str, nothing: tuple[str, ...]
     body = F.when(listed, F.regexp_replace(F.col("text"), "^\\[|\\]$", "")).otherwise(F.col("text"))
     tokens = F.regexp_extract_all(body, F.col("pattern"), F.lit(0))
     members = F.transform(tokens, lambda t: _strip(_unescaped(_strip(t))))
-    fields = F.transform(tokens, lambda t: _strip(_unquoted(t)))
+    bare = tokens if blanks else F.transform(tokens, _strip)  # with blanks no token has any outside of quotes
+    fields = F.when(F.contains("text", F.lit('"')), F.transform(bare, _unquoted)).otherwise(bare)
     kept = F.filter(F.when(listed, members).otherwise(fields), lambda x: x != "")
     return ruled.select("record_id", F.posexplode(kept).alias("pos", "item"))

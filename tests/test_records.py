@@ -103,6 +103,15 @@ def test_unpack_blank_parted(spark):
     assert [[got.get(str(i), {})[k] for k in sorted(got.get(str(i), {}))] for i in range(len(BLANK_PARTED))] == [w for _, w in BLANK_PARTED]
 
 
+def test_skeletons_with_and_without_quotes_agree(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab,;|、，\n\t \u3000") for _ in range(rng.randrange(1, 9))).strip() for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts if t], "t string")
+    for blanks in (False, True):
+        for r in df.select("t", packed.skeleton(F.col("t"), blanks).alias("s"), packed.skeleton(F.concat(F.col("t"), F.lit('x"')), blanks).alias("q")).collect():
+            assert r.q == r.s + '"', r
+
+
 def test_rules_are_resolved_per_skeleton(spark):
     df = spark.createDataFrame([("a, b",), ('"a; b", c',), ("['a']",), ("a",), ("a|b;c",)], "t string").select(packed.skeleton(F.col("t")).alias("skeleton"))
     assert [r.skeleton for r in df.collect()] == [",", ',"', "[", "", ";|"]
