@@ -26,9 +26,14 @@ SHINGLE = 3
 
 
 def words(text: Column) -> Column:
-    """Lower-case words: runs of letters and digits outside of tags and character entities; null gives none."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "</?[A-Za-z][^<>]*>|&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]{1,6};", " ")
-    t = F.regexp_replace(F.lower(t), "[\\p{M}\\x{ad}\\x{200b}]", "")
+    """Lower-case words: runs of letters and digits outside of tags and character entities; null gives none.
+
+    Passes over the text are made only where their characters occur.
+    """
+    t = F.coalesce(text, F.lit(""))
+    marked = F.contains(t, F.lit("<")) | F.contains(t, F.lit("&"))
+    t = F.lower(F.when(marked, F.regexp_replace(t, "</?[A-Za-z][^<>]*>|&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]{1,6};", " ")).otherwise(t))
+    t = F.when(F.octet_length(t) > F.length(t), F.regexp_replace(t, "[\\p{M}\\x{ad}\\x{200b}]", "")).otherwise(t)
     return F.regexp_extract_all(t, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
