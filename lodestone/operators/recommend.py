@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodestone.functions.shuffle import is_small, salted_join, stage
+from lodestone.operators.similarity import ordinals
+
 NOTHING_KNOWN = 3.0
 
 
@@ -41,13 +44,54 @@ def pearson_weights(rated: DataFrame, wanted: DataFrame) -> DataFrame:
     x = one.select(F.col("item").alias("few"), "user", F.col("stars").alias("x"))
     y = one.select(F.col("item").alias("many"), "user", F.col("stars").alias("y"))
     co = probe.join(x, "few").join(y, ["many", "user"])
+    found = wanted.join(_sums(co), ["item_1", "item_2"], "left").join(of(mean, 1, ["avg_stars"]), "item_1").join(of(mean, 2, ["avg_stars"]), "item_2")
+    ratio = F.least("avg_stars_1", "avg_stars_2") / F.greatest("avg_stars_1", "avg_stars_2")
+    return found.select("item_1", "item_2", F.when(F.col("n").isNull(), ratio).otherwise(_pearson()).alias("weight"))
+
+
+def _sums(co: DataFrame) -> DataFrame:
+    """item_1, item_2, n, xy, xx, yy over the users who rated both with x and y."""
     s = lambda e: F.sum(e)
     n, sx, sy = F.count("*"), s("x"), s("y")
-    sums = co.groupBy("item_1", "item_2").agg(n.alias("n"), (s(F.col("x") * F.col("y")) - sx * sy / n).alias("xy"), (s(F.col("x") * F.col("x")) - sx * sx / n).alias("xx"), (s(F.col("y") * F.col("y")) - sy * sy / n).alias("yy"))
-    r = F.when((F.col("xx") < 1e-9) | (F.col("yy") < 1e-9), 1.0).otherwise(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
-    found = wanted.join(sums, ["item_1", "item_2"], "left").join(of(mean, 1, ["avg_stars"]), "item_1").join(of(mean, 2, ["avg_stars"]), "item_2")
-    ratio = F.least("avg_stars_1", "avg_stars_2") / F.greatest("avg_stars_1", "avg_stars_2")
-    return found.select("item_1", "item_2", F.when(F.col("n").isNull(), ratio).otherwise(r).alias("weight"))
+    return co.groupBy("item_1", "item_2").agg(n.alias("n"), (s(F.col("x") * F.col("y")) - sx * sy / n).alias("xy"), (s(F.col("x") * F.col("x")) - sx * sx / n).alias("xx"), (s(F.col("y") * F.col("y")) - sy * sy / n).alias("yy"))
+
+
+def _pearson() -> Column:
+    """Pearson's r from xy, xx and yy; 1 if either side is constant."""
+    return F.when((F.col("xx") < 1e-9) | (F.col("yy") < 1e-9), 1.0).otherwise(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+
+
+def pearson_sharing(rated: DataFrame, least: int, most_items: int = 10_000) -> DataFrame:
+    """item_1 < item_2 and weight, as in pearson_weights, for all pairs of items with at least `least` users in common.
+
+    Each two ratings of a user are met once and summed by pair, so an item with a large share of all ratings costs its
+    ratings and not those times its partners. Items are their ordinals until the end. Of the users with over most_items
+    ratings an item leaves out its `least` - 1 most active ones, who cannot make a pair alone; pairs met by others get
+    these users' ratings afterwards.
+    """
+    index = stage(ordinals(rated, "item"))
+    small = is_small(index)
+    coded = rated.join(F.broadcast(index), "item") if small else salted_join(rated, index, ["item"])
+    rows = coded.select("user", F.col("ordinal").alias("item"), "stars").repartition("user").groupBy("user", "item").agg(F.avg("stars").alias("stars"))
+    side = lambda r, k, x: r.select("user", F.col("item").alias(f"item_{k}"), F.col("stars").alias(x))
+    met = lambda r: side(r, 1, "x").join(side(r, 2, "y"), "user").where(F.col("item_1") < F.col("item_2")).select("item_1", "item_2", "x", "y")
+    active = stage(rated.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > most_items))
+    if least == 1 or active.isEmpty():
+        co = met(rows)
+    else:
+        rows = stage(rows)
+        order = Window.partitionBy("item").orderBy(F.desc("n"), "user")
+        out = stage(rows.join(F.broadcast(active), "user").withColumn("k", F.row_number().over(order)).where(F.col("k") < least).drop("n", "k"))
+        kept = rows.join(out, ["user", "item"], "left_anti")
+        pairs = stage(met(kept).select("item_1", "item_2").distinct())
+        first = pairs.join(side(out, 1, "x"), "item_1").join(side(rows, 2, "y"), ["user", "item_2"])
+        second = pairs.join(side(out, 2, "y"), "item_2").join(side(kept, 1, "x"), ["user", "item_1"])
+        co = met(kept).unionByName(first.drop("user")).unionByName(second.drop("user"))
+    found = _sums(co).where(F.col("n") >= least).select("item_1", "item_2", _pearson().alias("weight"))
+    for k in (1, 2):
+        name = index.select(F.col("ordinal").alias(f"item_{k}"), F.col("item").alias(f"name_{k}"))
+        found = found.join(F.broadcast(name) if small else name, f"item_{k}")
+    return found.select(F.col("name_1").alias("item_1"), F.col("name_2").alias("item_2"), "weight")
 
 
 def predictions(rated: DataFrame, targets: DataFrame, neighbours: int = 100) -> DataFrame:

@@ -282,8 +282,7 @@ def item_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def _weights(s: SparkSession, d: str, least: int) -> DataFrame:
-    wanted = similarity.pairs_sharing(_rated(s, d), "item", "user", least).select(F.col("record_1").alias("item_1"), F.col("record_2").alias("item_2"))
-    return recommend.pearson_weights(_rated(s, d), wanted).withColumn("weight", F.round("weight", 6))
+    return recommend.pearson_sharing(_rated(s, d), least).withColumn("weight", F.round("weight", 6))
 
 
 def pearson_pairs(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import features, graph, itemsets, learning, nested
+from lodestone.operators import features, graph, itemsets, learning, nested, recommend
 from lodestone.plans import mining
 
 
@@ -87,3 +87,40 @@ def test_bloom_over_more_ids_than_the_fold_has(spark, tmp_path):
     spark.range(40_000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.lit("x").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
     new = mining.QUERIES["bloom_fpr_ids"](spark, str(tmp_path)).agg(F.sum("n_new"), F.sum("n_false")).first()
     assert new[0] == 40_000 and new[1] > 0
+
+
+def shuffled(spark, run):
+    """Records that the run's tasks write to shuffles."""
+    none, store = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark.sparkContext._jsc.sc().statusStore()
+
+    def so_far():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = so_far()
+    run()
+    return so_far() - before
+
+
+def test_weights_of_a_business_with_much_of_the_ratings(spark, tmp_path):
+    n, partners = 2_000, 150
+    hot = [(f"u{k:05}", "a hot one", 1.0 + k % 5) for k in range(n)]
+    rated = hot + [(f"u{(7 * b + k) % n:05}", f"b{b:03}", 1.0 + (b + k) % 5) for b in range(partners) for k in range(3)]
+    spark.createDataFrame(rated, "user_id string, business_id string, stars double").write.parquet(str(tmp_path / "yelp_train.parquet"))
+    got, usual = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables that are not small
+    try:
+        assert shuffled(spark, lambda: got.extend(mining.QUERIES["pearson_pairs"](spark, str(tmp_path)).collect())) < 20 * len(rated)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert {r.item_2 for r in got if r.item_1 == "a hot one"} >= {f"b{b:03}" for b in range(partners)}
+
+
+def test_weights_with_users_who_rate_much(spark):
+    rng = random.Random(5)
+    rated = spark.createDataFrame([(f"u{u}", f"b{b:02}", float(rng.randrange(1, 6))) for u in range(40) for b in range(25) if rng.random() < (0.9 if u < 4 else 0.06) for _ in range(1 + (b == u))], "user string, item string, stars double")
+    for least in (1, 2, 3):
+        want = {(r.item_1, r.item_2): r.weight for r in recommend.pearson_sharing(rated, least).collect()}
+        got = {(r.item_1, r.item_2): r.weight for r in recommend.pearson_sharing(rated, least, most_items=10).collect()}
+        assert got == pytest.approx(want) and want
