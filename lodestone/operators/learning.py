@@ -13,14 +13,18 @@ SIMPLE = ("u_count", "u_avg", "b_count", "b_avg", "u_useful")
 INDEXED = ("user_idx", "business_idx", *SIMPLE)
 
 
-#: Rows a task of a fit works on; a fit is many short jobs, and tasks of fewer rows are a burden.
+#: Rows a task of a fit works on at least; a fit is many short jobs, and tasks of fewer rows are a burden.
 ROWS_A_TASK = 5_000
+#: Rows a task works on at most, where there is more than a task a core.
+MOST_ROWS_A_TASK = 100_000
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df in memory, in as many partitions as its rows make tasks; unpersist it when the fits are done."""
+    """df in memory, dealt out evenly to a task a core, to fewer if it is small and to more if it is large; unpersist it when the fits are done."""
     rows = df.persist()
-    few = rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK))).persist()
+    n = rows.count()
+    tasks = min(-(-n // ROWS_A_TASK), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_ROWS_A_TASK)))
+    few = rows.repartition(max(1, tasks)).persist()
     few.count()
     rows.unpersist()
     return few

@@ -124,3 +124,12 @@ def test_weights_with_users_who_rate_much(spark):
         want = {(r.item_1, r.item_2): r.weight for r in recommend.pearson_sharing(rated, least).collect()}
         got = {(r.item_1, r.item_2): r.weight for r in recommend.pearson_sharing(rated, least, most_items=10).collect()}
         assert got == pytest.approx(want) and want
+
+
+def test_fits_take_a_task_a_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for n, tasks in ((40_000, cores), (300, 1), (100_000 * cores + 1, cores + 1)):
+        rows = learning.held(spark.range(0, n, 1, 7))
+        sizes = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert rows.rdd.getNumPartitions() == tasks == len(sizes) and sum(sizes) == n and max(sizes) - min(sizes) <= 7
+        rows.unpersist()
