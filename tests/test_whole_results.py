@@ -4,10 +4,11 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import features, graph, itemsets, learning, nested, recommend
+from lodestone.operators import features, graph, itemsets, learning, nested, recommend, trees
 from lodestone.plans import mining
 
 
@@ -133,3 +134,67 @@ def test_fits_take_a_task_a_core(spark):
         sizes = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
         assert rows.rdd.getNumPartitions() == tasks == len(sizes) and sum(sizes) == n and max(sizes) - min(sizes) <= 7
         rows.unpersist()
+
+
+def ratings(n, seed):
+    rng = random.Random(seed)
+    return [(f"u{u}", f"b{b}", float(u % 3), float(b % 40), float((u * 7 + b) % 2), 3.0, min(5.0, max(1.0, 1.0 + u % 3 + (b % 40 > 20) + rng.choice([-1, 0, 1]))) if rng.random() < 0.95 else 1.0) for u, b in ((rng.randrange(50), rng.randrange(90)) for _ in range(n))]
+
+
+RATED = "user string, item string, u_a double, b_b double, a_c double, a_d double, stars double"
+
+
+def test_rounds_of_stacked_models_take_no_jobs(spark):
+    rows = spark.createDataFrame(ratings(900, 1), RATED).persist()
+    new = spark.createDataFrame(ratings(300, 2), RATED).persist()
+    ever = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+
+    def jobs(**x):
+        before = ever()
+        out = learning.stacked(rows, new.drop("stars"), ["u_a", "b_b", "a_c", "a_d"], ["user", "item"], **x).collect()
+        return ever() - before, out
+
+    (few, _), (many, got) = jobs(folds=3, trees=2, forest=3), jobs(folds=3, trees=25, forest=12)
+    assert few == many < 60 and len(got) == 300
+    (_, by_jobs) = jobs(folds=3, trees=25, forest=12, most_bytes=0)  # as where a task cannot hold the rows
+    off = lambda out: (sum((p - s) ** 2 for p, s in zip(sorted_by(out), sorted_by(new.collect(), 6))) / 300) ** 0.5
+    sorted_by = lambda out, k=2: [r[k] for r in sorted(out, key=lambda r: (r[0], r[1], r[k]))]
+    assert off(got) == pytest.approx(off(by_jobs), rel=0.03) and off(got) < 1.0
+
+
+def test_trees_grown_in_a_task_are_those_of_the_engine(spark):
+    df = spark.createDataFrame(ratings(2_500, 3), RATED).withColumn("fold", F.lit(0)).coalesce(1).persist()
+    columns = ["u_a", "b_b", "a_c", "a_d"]
+    places = trees.Codes(trees.cuts(df, columns, 64))
+    assert [len(e) for e in places.edges] == [2, 39, 1, 0]
+    seen = df.toPandas()
+    binned = places.binned([seen[c].to_numpy() for c in columns])
+    assert (places.unpacked(places.packed(binned)) == binned).all()
+    own = trees.boosted_trees(trees.Boosting(6, 4, 0.1), places.packed(binned), places, seen["stars"].to_numpy()).summed(binned)
+    model = learning.GBTRegressor(labelCol="stars", maxIter=6, maxDepth=4, stepSize=0.1, maxBins=64, seed=1).fit(learning.assembled(df, columns))
+    want = [r.prediction for r in model.transform(learning.assembled(df, columns)).collect()]
+    assert own == pytest.approx(want)
+    assert sum((own - seen["stars"]) ** 2) < 0.7 * sum((seen["stars"].mean() - seen["stars"]) ** 2)
+
+
+def test_tallies_by_class_are_those_by_row():
+    rng = np.random.default_rng(4)
+    user, item = rng.integers(0, 40, (40, 5)), rng.integers(0, 9, (60, 9))
+    u, i = rng.integers(0, 40, 5_000), rng.integers(0, 60, 5_000)
+    binned, y = np.concatenate([user[u], item[i]], 1).T.astype(np.uint16), rng.random(5_000)
+    places = trees.Codes([np.arange(39.0)] * 5 + [np.arange(8.0)] * 9, ["u"] * 5 + ["i"] * 9)
+    codes = places.packed(binned)
+    classes = places.classes(codes)
+    assert len(places.sides) == 2 and {c[1].shape[1] for c in classes} == {40, 60}
+    for at in (None, np.flatnonzero(u % 3 == 1), np.flatnonzero(u == 3)):
+        rows = slice(None) if at is None else at
+        want = [[np.bincount(f[rows], w[rows], places.width) for f in binned] for w in (y, np.ones(5_000))]
+        for how in (None, classes):
+            got = places.tallied(codes, at, y, None, classes=how)
+            assert got[0] == pytest.approx(np.array(want[0])) and (got[1] == np.array(want[1])).all()
+
+
+def test_bins_of_values_that_most_rows_share(spark):
+    df = spark.createDataFrame([(0.0 if k % 4 else float(k), float(k % 3)) for k in range(4_000)] + [(float("nan"), 1.0)], "a double, b double")
+    many, few = trees.cuts(df, ["a", "b"], 16)
+    assert 12 <= len(many) <= 15 and (many[1:] > many[:-1]).all() and list(few) == [0.5, 1.5]
